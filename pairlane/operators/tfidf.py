@@ -30,10 +30,15 @@ class TfidfParams:
     strip_accents: str | None = "jvm"   # "jvm" | "exact" | None
 
 
-def terms(text: "F.Column", p: TfidfParams) -> "F.Column":
+def with_terms(df: DataFrame, id_col: str, p: TfidfParams, text_col: str = "text") -> DataFrame:
+    """(id, term) rows.  Tokens are projected into their own column before
+    the n-gram lambda reads them: a lambda that references the token
+    *expression* would re-run the regex for every element."""
     if p.analyzer == "char_wb":
-        return char_wb_ngrams(text, p.min_n, p.max_n, p.strip_accents)
-    return word_ngrams(word_tokens(text, p.strip_accents), p.max_n)
+        return df.select(id_col, F.explode(char_wb_ngrams(F.col(text_col), p.min_n, p.max_n,
+                                                          p.strip_accents)).alias("term"))
+    toks = df.select(id_col, word_tokens(F.col(text_col), p.strip_accents).alias("_tok"))
+    return toks.select(id_col, F.explode(word_ngrams(F.col("_tok"), p.max_n)).alias("term"))
 
 
 def term_counts(docs: DataFrame, id_col: str, p: TfidfParams, partitions: int | None = None) -> DataFrame:
@@ -42,7 +47,7 @@ def term_counts(docs: DataFrame, id_col: str, p: TfidfParams, partitions: int |
     shuffle."""
     d = docs.select(id_col, "text")
     d = d.repartition(partitions, id_col) if partitions else d.repartition(id_col)
-    return (d.select(id_col, F.explode(terms(F.col("text"), p)).alias("term"))
+    return (with_terms(d, id_col, p)
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -154,3 +159,55 @@ def tfidf_scores(model: TfidfModel, qv: DataFrame) -> DataFrame:
 
 def tfidf_topk(model: TfidfModel, qv: DataFrame, k: int) -> DataFrame:
     return topk(tfidf_scores(model, qv), k)
+
+
+def rank_topk(qv: DataFrame, dv: DataFrame, k: int, n_queries: int, n_corpus: int,
+              strategy: str = "auto", extra: DataFrame | None = None,
+              exclude: DataFrame | None = None, block: int = 2048) -> DataFrame:
+    """Top-k candidates (score > 0) per query by (score desc, corpus_idx asc).
+
+    ``exclude(query_id, corpus_idx)`` pairs are removed before ranking.  In
+    the blocked form each tile keeps k + #excluded(query) rows per query, so
+    removing the excluded pairs afterwards still leaves an exact top-k."""
+    if strategy == "auto":
+        est = estimated_pairs(qv, dv)
+        strategy = "sparse" if est <= max(2_000_000, 0.02 * n_queries * n_corpus) else "blocked"
+    if strategy == "sparse":
+        s = sparse_scores(qv, dv)
+        if exclude is not None:
+            s = s.join(exclude, ["query_id", "corpus_idx"], "left_anti")
+        return topk(s, k).select("query_id", "corpus_idx", "score", "rank")
+    from pairlane.plans.blocked import blocked_topk
+    qpack = _packed(qv, "query_id")
+    if exclude is not None:
+        n_ex = exclude.groupBy("query_id").agg(F.count(F.lit(1)).alias("_ne"))
+        qpack = (qpack.join(n_ex, "query_id", "left")
+                 .withColumn("kq", F.lit(k) + F.coalesce("_ne", F.lit(0))).drop("_ne"))
+    else:
+        qpack = qpack.withColumn("kq", F.lit(k))
+    cand = blocked_topk(qpack, _packed(dv, "corpus_idx"), n_queries, n_corpus, "sparse", block)
+    if exclude is not None:
+        cand = cand.drop("rank").join(exclude, ["query_id", "corpus_idx"], "left_anti")
+        return topk(cand, k).select("query_id", "corpus_idx", "score", "rank")
+    return cand.filter(F.col("rank") <= k).select("query_id", "corpus_idx", "score", "rank")
+
+
+def known_matches(pairs: DataFrame, es) -> DataFrame:
+    """(query_id, corpus_idx) for every right text labelled a match of the
+    query's left text — these are never hard negatives."""
+    from pairlane.functions.text import side_text
+    m = (pairs.filter(F.col("label") == 1)
+         .select(side_text("left").alias("query_text"), side_text("right").alias("text"))
+         .distinct())
+    c = es.corpus.select("text", "corpus_idx")
+    q = es.queries.select("query_id", "query_text")
+    return m.join(c, "text").join(q, "query_text").select("query_id", "corpus_idx").distinct()
+
+
+def mine_hard_negatives(pairs: DataFrame, es, qv: DataFrame, dv: DataFrame, k: int,
+                        strategy: str = "auto") -> DataFrame:
+    """Per match query: the k most similar corpus items that are neither its
+    positive nor any labelled match of the same left text."""
+    ex = known_matches(pairs, es).unionByName(
+        es.positives.select("query_id", F.col("pos_idx").alias("corpus_idx"))).distinct()
+    return rank_topk(qv, dv, k, es.queries.count(), es.n_corpus, strategy, exclude=ex)
