@@ -42,7 +42,7 @@ def _load() -> None:
         importlib.import_module(f"pairlane.plans.{mod}")
 
 
-CATALOG = ["q_core", "q_tfidf", "q_splits", "q_sources", "q_negatives", "q_dense",
+CATALOG = ["q_core", "q_tfidf", "q_splits", "q_sources", "q_negatives", "q_prompts", "q_dense",
            "q_synth", "q_reports", "q_streaming"]
 
 
