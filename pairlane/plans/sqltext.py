@@ -54,7 +54,7 @@ corpus AS (SELECT row_number() OVER (ORDER BY first_pair_id, text) - 1 AS corpus
 q_raw AS (SELECT {lt} AS query_text, {rt} AS positive_text, count(*) AS n_rows, min(pair_id) AS first_pair_id
           FROM {pairs} WHERE label = 1 GROUP BY 1, 2),
 queries AS (SELECT row_number() OVER (ORDER BY q.first_pair_id, q.query_text, q.positive_text) - 1 AS query_id,
-            q.query_text, q.n_rows, c.corpus_idx AS pos_idx
+            q.query_text, q.n_rows, c.corpus_idx AS pos_idx, q.first_pair_id
             FROM q_raw q JOIN corpus c ON c.text = q.positive_text),
 dterm AS (SELECT corpus_idx, unnest({uni_bi_grams(tokens('text'))}) AS term FROM corpus),
 dtf AS (SELECT corpus_idx, term, count(*) AS tf FROM dterm GROUP BY 1, 2),
