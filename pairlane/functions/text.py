@@ -63,7 +63,7 @@ def product_text(title, brand, description, price=None, price_currency=None,
         p = clean(price) if price is not None else F.lit("")
         pc = clean(price_currency) if price_currency is not None else F.lit("")
         price_str = F.when(pc != "", F.concat(pc, F.lit(" "), p)).otherwise(p)
-        parts.append(_tagged(PRICE_TAG, price_str))
+        parts.append(F.when(p != "", F.concat(F.lit(PRICE_TAG + " "), price_str)))
     joined = F.concat_ws(" ", *parts)
     return F.when(joined == "", F.lit(EMPTY_TEXT)).otherwise(joined)
 
