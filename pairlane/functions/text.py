@@ -42,12 +42,12 @@ def py_strip(col: "str | Column") -> Column:
 
 
 def clean(col: "str | Column") -> Column:
-    """NULL -> '', otherwise stripped string."""
-    return F.coalesce(py_strip(_c(col).cast("string")), F.lit(""))
-
-
-def _tagged(tag: str, value: Column) -> Column:
-    return F.when(value != "", F.concat(F.lit(tag + " "), value))
+    """NULL -> '', otherwise stripped string.  The strip regex only runs
+    when the first or last character is whitespace (the common case skips
+    it)."""
+    x = _c(col).cast("string")
+    edge = F.substring(x, 1, 1).rlike(WS_CLASS) | F.substring(x, -1, 1).rlike(WS_CLASS)
+    return F.coalesce(F.when(edge, F.regexp_replace(x, STRIP_RE, "")).otherwise(x), F.lit(""))
 
 
 def product_text(title, brand, description, price=None, price_currency=None,
@@ -55,17 +55,23 @@ def product_text(title, brand, description, price=None, price_currency=None,
     """One text per product side:
     ``[TITLE] t [BRAND] b [DESC] d[:300]`` (+ ``[PRICE] cur p``), missing parts
     omitted, ``[EMPTY]`` when nothing is left.  The description is cut after
-    stripping and not stripped again."""
+    stripping and not stripped again.
+
+    Each cleaned value is computed once: values and tags are zipped and the
+    lambda variable is what the emptiness test reads."""
     t, b, d = clean(title), clean(brand), clean(description)
-    parts = [_tagged(TITLE_TAG, t), _tagged(BRAND_TAG, b),
-             _tagged(DESC_TAG, F.substring(d, 1, MAX_DESC_CHARS))]
+    parts = [t, b, F.substring(d, 1, MAX_DESC_CHARS)]
+    tags = [TITLE_TAG, BRAND_TAG, DESC_TAG]
     if include_price:
         p = clean(price) if price is not None else F.lit("")
         pc = clean(price_currency) if price_currency is not None else F.lit("")
-        price_str = F.when(pc != "", F.concat(pc, F.lit(" "), p)).otherwise(p)
-        parts.append(F.when(p != "", F.concat(F.lit(PRICE_TAG + " "), price_str)))
-    joined = F.concat_ws(" ", *parts)
-    return F.when(joined == "", F.lit(EMPTY_TEXT)).otherwise(joined)
+        parts.append(F.when(p != "", F.when(pc != "", F.concat(pc, F.lit(" "), p)).otherwise(p))
+                     .otherwise(F.lit("")))
+        tags.append(PRICE_TAG)
+    tagged = F.zip_with(F.array(*[F.lit(g + " ") for g in tags]), F.array(*parts),
+                        lambda g, v: F.when(v != "", F.concat(g, v)))
+    joined = F.array_join(F.filter(tagged, lambda x: x.isNotNull()), " ")
+    return F.regexp_replace(joined, "^$", EMPTY_TEXT)
 
 
 def side_text(side: str, include_price: bool = False) -> Column:
@@ -126,7 +132,9 @@ def fold_accents(col: "str | Column") -> Column:
     removal.  Equal to NFKD-and-drop-marks for every character whose
     decomposition folds to a single character."""
     src, dst, marks = _fold_tables()
-    return F.regexp_replace(F.translate(_c(col), src, dst), marks, "")
+    x = _c(col)
+    # ASCII-only text (the common case) skips the table and the mark class
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(x, src, dst), marks, "")).otherwise(x)
 
 
 def fold_accents_exact(col: "str | Column") -> Column:

@@ -37,7 +37,11 @@ class EvalSet:
     queries: DataFrame     # query_id, query_text, positive_text, n_rows, first_pair_id
     positives: DataFrame   # query_id, pos_idx
     n_corpus: int
-    n_dropped: int
+    dropped: DataFrame     # queries whose positive text is not in the corpus
+
+    @property
+    def n_dropped(self) -> int:
+        return self.dropped.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
 
 
 def match_queries(pairs: DataFrame) -> DataFrame:
@@ -67,5 +71,4 @@ def eval_corpus(pairs: DataFrame, checkpoint: bool = True) -> EvalSet:
     queries = found.select("query_id", "query_text", "positive_text", "n_rows", "first_pair_id", "pos_idx")
     positives = found.select("query_id", "pos_idx")
     n_corpus = corpus.count()
-    n_dropped = dropped.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
-    return EvalSet(corpus, queries, positives, n_corpus, n_dropped)
+    return EvalSet(corpus, queries, positives, n_corpus, dropped)

@@ -5,8 +5,8 @@ through one task.  Instead: sort (range-partitioned), tag each row with
 ``monotonically_increasing_id`` (partition id in the high bits, position in
 the low 33 bits), checkpoint so the tags are stable, count rows per
 partition (a table with one row per partition, i.e. bounded by the
-partition count), prefix-sum those counts and add the offset back through a
-broadcast join of that bounded table.
+partition count), prefix-sum those counts on the driver and add the offset
+back as a literal map lookup (no join).
 """
 
 from __future__ import annotations
@@ -25,11 +25,16 @@ def dense_index(df: DataFrame, order_cols: list, name: str,
     if checkpoint:
         tagged = materialize(tagged)
     part = F.shiftright(F.col("_mid"), 33)
+    # one row per non-empty partition: bounded by the partition count
     counts = (tagged.groupBy(part.alias("_p"))
-              .agg((F.max(F.col("_mid").bitwiseAND(F.lit(_LOW))) + 1).alias("_n")))
-    offsets = counts.select(
-        "_p", F.coalesce(F.sum("_n").over(
-            W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    cols = [c for c in df.columns]
-    return (tagged.join(F.broadcast(offsets), part == F.col("_p"))
-            .select((F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW))).alias(name), *cols))
+              .agg((F.max(F.col("_mid").bitwiseAND(F.lit(_LOW))) + 1).alias("_n"))
+              .collect())
+    offsets, acc = {}, 0
+    for r in sorted(counts, key=lambda r: r["_p"]):
+        offsets[int(r["_p"])] = acc
+        acc += int(r["_n"])
+    if not offsets:
+        return tagged.select(F.lit(0).cast("bigint").alias(name), *df.columns)
+    off_map = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
+    off = F.element_at(off_map, part).cast("bigint")
+    return tagged.select((off + F.col("_mid").bitwiseAND(F.lit(_LOW))).alias(name), *df.columns)

@@ -17,11 +17,14 @@ from pairlane.sources.tables import table
 N_RIGHTS = 7  # 1 match + 6 non-matches per left part
 
 
-def pairs(spark: SparkSession, sf_dir: str, full_schema: bool = True) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, full_schema: bool = True,
+          materialized: bool = True) -> DataFrame:
+    """The derived pair table.  By default it is written once to the shared
+    checkpoint folder so the several plans of one query read a table
+    instead of re-running the joins that derive it."""
     part = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand",
                  "p_type", "p_size", "p_retailprice")
-    # row count of part as an uncorrelated scalar subquery (one aggregate job)
-    n = part.agg(F.count(F.lit(1))).scalar()
+    n = F.lit(part.count())  # one scalar, computed once
     keys = (part.select(F.col("p_partkey").alias("lk"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(N_RIGHTS - 1)))))
     keys = keys.withColumn(
@@ -58,7 +61,11 @@ def pairs(spark: SparkSession, sf_dir: str, full_schema: bool = True) -> DataFra
         F.lit(None).cast("bigint").alias("cluster_id_right"),
         ((F.col("j") > 0) & (F.col("l_brand") == F.col("r_brand"))).alias("is_hard_negative"),
     )
-    return out.select(*UNIFIED_COLS) if full_schema else out
+    out = out.select(*UNIFIED_COLS) if full_schema else out
+    if materialized:
+        from pairlane.session import materialize
+        out = materialize(out)
+    return out
 
 
 # DuckDB form of the same table, used as a CTE by every oracle.  Price uses
