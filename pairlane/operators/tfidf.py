@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pairlane.functions.text import char_wb_ngrams, word_ngrams, word_tokens
 from pairlane.operators.ranking import SCORE_DIGITS, positive_rank, retrieval_metrics, topk
 from pairlane.plans.indexing import dense_index
-from pairlane.session import materialize
+from pairlane.session import reuse
 
 
 @dataclass
@@ -88,15 +88,15 @@ def tfidf_fit(corpus: DataFrame, p: TfidfParams = TfidfParams(), n_docs: int | N
     """corpus(corpus_idx, text) -> vocabulary with idf + document vectors."""
     tf = term_counts(corpus, "corpus_idx", p)
     if checkpoint:
-        tf = materialize(tf)
+        tf = reuse(tf)
     n = n_docs if n_docs is not None else corpus.count()
     vocab = vocab_cap(term_stats(tf), p.max_features)
     vocab = vocab.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
     if checkpoint:
-        vocab = materialize(vocab)
+        vocab = reuse(vocab)
     docs = _weights(tf, vocab, "corpus_idx", p, p.max_features is not None)
     if checkpoint:
-        docs = materialize(docs)
+        docs = reuse(docs)
     return TfidfModel(vocab, docs, n, p)
 
 

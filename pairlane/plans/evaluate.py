@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pairlane.operators.corpus import EvalSet, eval_corpus
 from pairlane.operators.ranking import retrieval_metrics
 from pairlane.operators.tfidf import TfidfParams, rank_queries, tfidf_fit, tfidf_vectors
-from pairlane.session import materialize
+from pairlane.session import reuse
 
 
 def tfidf_ranks(pairs: DataFrame, params: TfidfParams = TfidfParams(),
                 strategy: str = "auto", es: EvalSet | None = None):
     es = es or eval_corpus(pairs)
     model = tfidf_fit(es.corpus.select("corpus_idx", "text"), params, n_docs=es.n_corpus)
-    qv = materialize(tfidf_vectors(
+    qv = reuse(tfidf_vectors(
         model, es.queries.select("query_id", F.col("query_text").alias("text")), "query_id"))
     n_q = es.queries.count()
     ranks = rank_queries(qv, model.doc_vectors, es.positives, n_q, es.n_corpus, strategy)

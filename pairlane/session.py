@@ -61,3 +61,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a deterministic intermediate that several later stages read
+    (memory, spilling to disk) and materialise it now.  If an executor is
+    lost its blocks are recomputed from lineage, which gives the same rows
+    because the plan is deterministic; plans that are not (row tags) use
+    ``materialize`` instead."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df

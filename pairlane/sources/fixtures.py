@@ -63,8 +63,8 @@ def pairs(spark: SparkSession, sf_dir: str, full_schema: bool = True,
     )
     out = out.select(*UNIFIED_COLS) if full_schema else out
     if materialized:
-        from pairlane.session import materialize
-        out = materialize(out)
+        from pairlane.session import reuse
+        out = reuse(out)
     return out
 
 
