@@ -18,18 +18,22 @@ def hash60(*parts) -> F.Column:
 
 def triplets_from_negatives(pairs: DataFrame, negatives: DataFrame, ratio: int = 1,
                             seed: int = 42) -> DataFrame:
-    """Each match row joined to its negatives on pair_id; at most ``ratio``
-    per match row, chosen by seeded hash order of the negative text; match
-    rows without negatives are dropped.  The per-row window holds only that
-    row's negatives."""
+    """Each match row gets at most ``ratio`` of the negatives generated for
+    its pair_id, chosen in seeded hash order of the negative text; match
+    rows without negatives are dropped.
+
+    The order does not depend on the match row, so the best ``ratio``
+    negatives are picked once per pair_id (a ranked window that Spark
+    pre-limits in every map partition) and only then joined to the match
+    rows: a pair_id shared by many rows never expands to all pairs of its
+    group, the output is bounded by ``ratio`` per match row."""
     m = pairs.filter(F.col("label") == 1).select(
         "pair_id", side_text("left").alias("anchor_text"), side_text("right").alias("positive_text"))
-    n = negatives.select("pair_id", "negative_text")
-    j = m.join(n, "pair_id")
-    w = W.partitionBy("pair_id", "anchor_text", "positive_text").orderBy(
+    w = W.partitionBy("pair_id").orderBy(
         F.md5(F.concat(F.lit(f"{seed}|"), F.col("negative_text"))), F.col("negative_text"))
-    return (j.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= ratio)
-            .select("pair_id", "anchor_text", "positive_text", "negative_text"))
+    top = (negatives.select("pair_id", "negative_text")
+           .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= ratio).drop("_r"))
+    return m.join(top, "pair_id").select("pair_id", "anchor_text", "positive_text", "negative_text")
 
 
 def triplets_to_negatives(triplets: DataFrame) -> DataFrame:

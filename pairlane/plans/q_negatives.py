@@ -237,11 +237,13 @@ def _generation_cost(spark, sf):
 
 _NEGS_SQL = """negs AS (SELECT p.pair_id, c.negative_text FROM prods p JOIN cache c ON c.cache_key = p.cache_key)"""
 _TRIP_SQL = f"""trip AS (
- SELECT pair_id, anchor_text, positive_text, negative_text FROM (
-  SELECT m.*, n.negative_text, row_number() OVER (PARTITION BY m.pair_id, m.anchor_text, m.positive_text
-        ORDER BY md5('42|' || n.negative_text), n.negative_text) AS r
-  FROM (SELECT pair_id, {S.side_text('left')} AS anchor_text, {S.side_text('right')} AS positive_text
-        FROM pairs WHERE label = 1) m JOIN negs n ON n.pair_id = m.pair_id) WHERE r <= __RATIO__)"""
+ SELECT m.pair_id, m.anchor_text, m.positive_text, n.negative_text
+ FROM (SELECT pair_id, {S.side_text('left')} AS anchor_text, {S.side_text('right')} AS positive_text
+       FROM pairs WHERE label = 1) m
+ JOIN (SELECT pair_id, negative_text FROM (
+        SELECT pair_id, negative_text, row_number() OVER (PARTITION BY pair_id
+               ORDER BY md5('42|' || negative_text), negative_text) AS r FROM negs) WHERE r <= __RATIO__) n
+ ON n.pair_id = m.pair_id)"""
 
 
 def _negs(spark, sf):

@@ -29,7 +29,10 @@ def normalise_raw_pairs(raw: DataFrame) -> DataFrame:
         "id_left": F.coalesce(F.col("id_left"), F.col("nodeId_left"), F.lit("")),
         "id_right": F.coalesce(F.col("id_right"), F.col("nodeId_right"), F.lit("")),
         "label": F.coalesce(F.col("label").cast("double").cast("int"), F.lit(0)),
-        "pair_id": s("pair_id"),
+        # a blank pair id would make all such rows one key: derive it instead
+        "pair_id": F.coalesce(F.nullif(F.col("pair_id"), F.lit("")),
+                              F.concat_ws("#", F.coalesce(F.col("id_left"), F.col("nodeId_left"), F.lit("")),
+                                          F.coalesce(F.col("id_right"), F.col("nodeId_right"), F.lit("")))),
         "is_hard_negative": F.coalesce(F.col("is_hard_negative"), F.lit(False)),
     }
     for side in ("left", "right"):
