@@ -101,23 +101,25 @@ def cache_misses(prods: DataFrame, cache: DataFrame) -> DataFrame:
                                          F.count(F.lit(1)).alias("n_products"))
 
 
-def pricing_table(spark) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, k, pin, pout) for i, (k, pin, pout) in enumerate(PRICING)],
-        "ord int, model_key string, price_in double, price_out double")
-
-
-def generation_cost(usage: DataFrame, pricing: DataFrame) -> DataFrame:
-    """usage(model_id, prompt_tokens, completion_tokens) summed per model,
-    priced by the first pricing key that prefixes the id."""
+def price_columns(model_id: "F.Column") -> tuple["F.Column", "F.Column"]:
+    """(price_in, price_out) of the first pricing key that prefixes the model
+    id, in list order; 0 for unknown models.  The list is a handful of fixed
+    literals, so this is a CASE chain, not a join."""
+    pin = pout = None
+    for key, a, b in PRICING:
+        cond = model_id.startswith(key)
+        pin = F.when(cond, F.lit(a)) if pin is None else pin.when(cond, F.lit(a))
+        pout = F.when(cond, F.lit(b)) if pout is None else pout.when(cond, F.lit(b))
+    return pin.otherwise(F.lit(0.0)), pout.otherwise(F.lit(0.0))
+
+
+def generation_cost(usage: DataFrame) -> DataFrame:
+    """usage(model_id, prompt_tokens, completion_tokens) summed per model
+    and priced per 1M tokens."""
     u = usage.groupBy("model_id").agg(F.sum("prompt_tokens").alias("prompt_tokens"),
                                       F.sum("completion_tokens").alias("completion_tokens"))
-    p = F.broadcast(pricing)  # fixed list of a few rows
-    m = (u.join(p, F.col("model_id").startswith(F.col("model_key")), "left")
-         .groupBy("model_id", "prompt_tokens", "completion_tokens")
-         .agg(F.min_by(F.struct("price_in", "price_out"), "ord").alias("pr")))
-    cost = (F.col("prompt_tokens") * F.coalesce("pr.price_in", F.lit(0.0)) +
-            F.col("completion_tokens") * F.coalesce("pr.price_out", F.lit(0.0))) / 1_000_000
-    return m.select("model_id", F.col("prompt_tokens").cast("bigint").alias("prompt_tokens"),
+    pin, pout = price_columns(F.col("model_id"))
+    cost = (F.col("prompt_tokens") * pin + F.col("completion_tokens") * pout) / 1_000_000
+    return u.select("model_id", F.col("prompt_tokens").cast("bigint").alias("prompt_tokens"),
                     F.col("completion_tokens").cast("bigint").alias("completion_tokens"),
                     F.round(cost, 6).alias("cost_usd"))

@@ -232,7 +232,7 @@ SELECT model_id, CAST(prompt_tokens AS BIGINT) AS prompt_tokens, CAST(completion
 def _generation_cost(spark, sf):
     usage = fixtures.responses(spark, sf).select(_model_col().alias("model_id"),
                                                  "prompt_tokens", "completion_tokens")
-    return N.generation_cost(usage, N.pricing_table(spark))
+    return N.generation_cost(usage)
 
 
 _NEGS_SQL = """negs AS (SELECT p.pair_id, c.negative_text FROM prods p JOIN cache c ON c.cache_key = p.cache_key)"""
