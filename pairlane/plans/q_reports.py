@@ -21,7 +21,9 @@ def log_df(spark, sf):
     cat = p.select(F.col("pair_id").alias("first_pair_id"), F.lower("description_left").alias("category"))
     r = (ranks.join(es.queries.select("query_id", "first_pair_id"), "query_id").join(cat, "first_pair_id")
          .withColumn("run", F.pmod(hash60(F.lit("42|run|"), F.col("first_pair_id")), F.lit(N_RUNS)).cast("int")))
-    return RP.results_log(r, RP.runs_table(spark))
+    # one row per (category, run): small, read by several report branches
+    from pairlane.session import reuse
+    return reuse(RP.results_log(r, RP.runs_table(spark)))
 
 
 def _v(x):

@@ -17,11 +17,17 @@ from pairlane.sources.tables import table
 N_RIGHTS = 7  # 1 match + 6 non-matches per left part
 
 
+_PAIRS: dict = {}
+
+
 def pairs(spark: SparkSession, sf_dir: str, full_schema: bool = True,
           materialized: bool = True) -> DataFrame:
-    """The derived pair table.  By default it is written once to the shared
-    checkpoint folder so the several plans of one query read a table
-    instead of re-running the joins that derive it."""
+    """The derived pair table.  By default it is built once per session and
+    data folder and kept (memory, spilling to disk), so every plan reads a
+    table instead of re-running the joins that derive it."""
+    key = (spark.sparkContext.applicationId, sf_dir, full_schema)
+    if materialized and key in _PAIRS:
+        return _PAIRS[key]
     part = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand",
                  "p_type", "p_size", "p_retailprice")
     n = F.lit(part.count())  # one scalar, computed once
@@ -65,6 +71,7 @@ def pairs(spark: SparkSession, sf_dir: str, full_schema: bool = True,
     if materialized:
         from pairlane.session import reuse
         out = reuse(out)
+        _PAIRS[key] = out
     return out
 
 
