@@ -43,27 +43,82 @@ def class_quotas(df: DataFrame, fraction: float, col: str = "label",
                                      .otherwise(0)).cast("bigint").alias("quota"))
 
 
+MAX_LITERAL_STRATA = 10_000  # above this, quotas/offsets are joined instead
+
+
+def _stratum_key(cols: list[str]) -> F.Column:
+    return F.to_json(F.array(*[F.col(c).cast("string") for c in cols]))
+
+
+def _quotas_py(counts: list[tuple], fraction: float) -> dict:
+    """counts: [(group_key, class_value, n_c)] -> {(group_key, class): quota}
+    by the same rule as ``class_quotas``."""
+    import math
+    by_g: dict = {}
+    for g, c, n in counts:
+        by_g.setdefault(g, []).append((c, n))
+    out = {}
+    for g, rows in by_g.items():
+        n_tot = sum(n for _, n in rows)
+        n_draw = math.ceil(float(fraction) * n_tot)
+        cont = [(c, n / n_tot * n_draw) for c, n in rows]
+        fl = {c: math.floor(v) for c, v in cont}
+        need = n_draw - sum(fl.values())
+        order = sorted(cont, key=lambda cv: (-(cv[1] - math.floor(cv[1])), cv[0]))
+        for i, (c, _) in enumerate(order):
+            out[(g, c)] = fl[c] + (1 if i < need else 0)
+    return out
+
+
 def rank_in_class(df: DataFrame, seed: int, salt: str, key: str = "pair_id",
-                  col: str = "label", groups: list[str] | None = None) -> DataFrame:
+                  col: str = "label", groups: list[str] | None = None,
+                  fractions: dict | None = None):
     """Adds ``_rk`` = 1-based position of the row inside its (group, class)
-    in seeded hash order."""
+    in seeded hash order.  With ``fractions`` ({name: f}) also adds one
+    boolean column per fraction (row is inside that exact stratified
+    sample).
+
+    The per-stratum counts (one row per (group, class)) are collected once;
+    class start offsets and quotas are applied as literal map lookups.  With
+    more strata than MAX_LITERAL_STRATA both are joined instead."""
     g = list(groups or [])
+    sk = _stratum_key([*g, col])
+    counts = df.groupBy(sk.alias("_sk"), *g, col).agg(F.count(F.lit(1)).alias("n_c"))
     h = df.withColumn("_h", seeded_hash(seed, salt, key))
     idx = dense_index(h, [*g, col, "_h", key], "_gidx")
-    counts = idx.groupBy(*g, col).agg(F.min("_gidx").alias("_start"))
-    return (idx.join(F.broadcast(counts), [*g, col])  # one row per (group, class)
-            .withColumn("_rk", F.col("_gidx") - F.col("_start") + 1)
-            .drop("_gidx", "_start", "_h"))
+    rows = counts.limit(MAX_LITERAL_STRATA + 1).collect()
+    if len(rows) <= MAX_LITERAL_STRATA:
+        # strata in sort order of (groups..., class): start = rows before it
+        rows.sort(key=lambda r: tuple((r[c] is not None, r[c]) for c in [*g, col]))
+        starts, acc = {}, 0
+        for r in rows:
+            starts[r["_sk"]] = acc
+            acc += r["n_c"]
+        lit_map = F.create_map(*[x for k, v in starts.items() for x in (F.lit(k), F.lit(v))])
+        out = idx.withColumn("_rk", F.col("_gidx") - F.element_at(lit_map, sk) + 1)
+        for name, frac in (fractions or {}).items():
+            if frac >= 1.0:
+                out = out.withColumn(name, F.lit(True))
+                continue
+            gkey = [tuple(r[c] for c in g) for r in rows]
+            q = _quotas_py([(gk, r[col], r["n_c"]) for gk, r in zip(gkey, rows)], frac)
+            qmap = {r["_sk"]: q[(gk, r[col])] for gk, r in zip(gkey, rows)}
+            m = F.create_map(*[x for k, v in qmap.items() for x in (F.lit(k), F.lit(v))])
+            out = out.withColumn(name, F.col("_rk") <= F.element_at(m, sk))
+        return out.drop("_gidx", "_h")
+    starts = idx.groupBy(*g, col).agg(F.min("_gidx").alias("_start"))
+    out = (idx.join(starts, [*g, col])
+           .withColumn("_rk", F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start", "_h"))
+    for name, frac in (fractions or {}).items():
+        q = class_quotas(df, frac, col, g).select(*g, col, F.col("quota").alias(f"_q_{name}"))
+        out = out.join(q, [*g, col]).withColumn(name, F.col("_rk") <= F.col(f"_q_{name}")).drop(f"_q_{name}")
+    return out
 
 
 def tag_fraction(df: DataFrame, fraction: float, seed: int, salt: str, key: str = "pair_id",
                  col: str = "label", groups: list[str] | None = None) -> DataFrame:
     """Adds boolean ``_in`` = row belongs to the exact stratified sample."""
-    g = list(groups or [])
-    r = rank_in_class(df, seed, salt, key, col, g)
-    q = class_quotas(df, fraction, col, g).select(*g, col, "quota")
-    return (r.join(F.broadcast(q), [*g, col])
-            .withColumn("_in", F.col("_rk") <= F.col("quota")).drop("quota"))
+    return rank_in_class(df, seed, salt, key, col, groups, {"_in": fraction})
 
 
 def stratified_sample(df: DataFrame, fraction: float, seed: int = DEFAULT_SEED,
@@ -111,17 +166,12 @@ def low_resource_splits(train: DataFrame, val: DataFrame, test: DataFrame | None
         train = carved.filter(F.col("split") == "train").select(*cols)
     else:
         train = holdout_reuse(train, test, key)
-    ranked = rank_in_class(train, seed, "train", key, col, groups)
+    flags = {f"_in_{name}": frac for name, frac in fractions.items()}
+    ranked = rank_in_class(train, seed, "train", key, col, groups, flags)
     out = []
-    g = list(groups or [])
-    for name, frac in fractions.items():
-        if frac >= 1.0:
-            out.append(ranked.select(*cols, F.lit(f"train_{name}").alias("split")))
-        else:
-            q = class_quotas(train, frac, col, g).select(*g, col, "quota")
-            out.append(ranked.join(F.broadcast(q), [*g, col])
-                       .filter(F.col("_rk") <= F.col("quota"))
-                       .select(*cols, F.lit(f"train_{name}").alias("split")))
+    for name in fractions:
+        out.append(ranked.filter(F.col(f"_in_{name}"))
+                   .select(*cols, F.lit(f"train_{name}").alias("split")))
     out.append(val.select(*cols, F.lit("val").alias("split")))
     out.append(test.select(*cols, F.lit("test").alias("split")))
     res = out[0]
