@@ -44,6 +44,16 @@ def uni_bi_grams(toks: str) -> str:
             f"lambda i: {toks}[i] || ' ' || {toks}[i + 1]))")
 
 
+def ngram_ctes(name: str, src: str, id_col: str, text: str) -> str:
+    """CTEs ending in ``name(id_col, term)``: word uni- and bigrams, one row
+    per occurrence.  Bigrams come from a join on token position (a list
+    lambda over long token lists is quadratic in DuckDB)."""
+    return f"""{name}_t AS (SELECT {id_col} AS id, {tokens(text)} AS t FROM {src}),
+{name}_u AS (SELECT id, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS pos FROM {name}_t),
+{name} AS (SELECT id AS {id_col}, tok AS term FROM {name}_u
+    UNION ALL SELECT a.id, a.tok || ' ' || b.tok FROM {name}_u a JOIN {name}_u b ON b.id = a.id AND b.pos = a.pos + 1)"""
+
+
 def tfidf_ctes(pairs: str = "pairs", max_features: int = 50000) -> str:
     """CTEs corpus, queries, dtf, vocab, dv, qv, scores, ranks, for TF-IDF
     evaluation of the pair table ``pairs``."""
@@ -56,14 +66,14 @@ q_raw AS (SELECT {lt} AS query_text, {rt} AS positive_text, count(*) AS n_rows,
 queries AS (SELECT row_number() OVER (ORDER BY q.first_pair_id, q.query_text, q.positive_text) - 1 AS query_id,
             q.query_text, q.n_rows, c.corpus_idx AS pos_idx, q.first_pair_id
             FROM q_raw q JOIN corpus c ON c.text = q.positive_text),
-dterm AS (SELECT corpus_idx, unnest({uni_bi_grams(tokens('text'))}) AS term FROM corpus),
+{ngram_ctes('dterm', 'corpus', 'corpus_idx', 'text')},
 dtf AS (SELECT corpus_idx, term, count(*) AS tf FROM dterm GROUP BY 1, 2),
 tstats AS (SELECT term, sum(tf) AS cnt, count(*) AS df FROM dtf GROUP BY 1),
 vocab AS (SELECT term, df, ln((1.0 + (SELECT count(*) FROM corpus)) / (1.0 + df)) + 1.0 AS idf
           FROM tstats ORDER BY cnt DESC, term LIMIT {max_features}),
 dw0 AS (SELECT corpus_idx, t.term, (1 + ln(tf)) * idf AS w0 FROM dtf t JOIN vocab v ON v.term = t.term),
 dv AS (SELECT corpus_idx, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY corpus_idx)) AS w FROM dw0),
-qterm AS (SELECT query_id, unnest({uni_bi_grams(tokens('query_text'))}) AS term FROM queries),
+{ngram_ctes('qterm', 'queries', 'query_id', 'query_text')},
 qtf AS (SELECT query_id, term, count(*) AS tf FROM qterm GROUP BY 1, 2),
 qw0 AS (SELECT query_id, t.term, (1 + ln(tf)) * idf AS w0 FROM qtf t JOIN vocab v ON v.term = t.term),
 qv AS (SELECT query_id, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY query_id)) AS w FROM qw0),
