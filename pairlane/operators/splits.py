@@ -43,7 +43,7 @@ def class_quotas(df: DataFrame, fraction: float, col: str = "label",
                                      .otherwise(0)).cast("bigint").alias("quota"))
 
 
-MAX_LITERAL_STRATA = 10_000  # above this, quotas/offsets are joined instead
+MAX_LITERAL_STRATA = 64  # map literals are searched linearly; above this, join
 
 
 def _stratum_key(cols: list[str]) -> F.Column:

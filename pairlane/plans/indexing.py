@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pairlane.session import materialize
 
 _LOW = (1 << 33) - 1
+MAX_LITERAL_KEYS = 64
 
 
 def dense_index(df: DataFrame, order_cols: list, name: str,
@@ -35,6 +36,13 @@ def dense_index(df: DataFrame, order_cols: list, name: str,
         acc += int(r["_n"])
     if not offsets:
         return tagged.select(F.lit(0).cast("bigint").alias(name), *df.columns)
-    off_map = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
-    off = F.element_at(off_map, part).cast("bigint")
-    return tagged.select((off + F.col("_mid").bitwiseAND(F.lit(_LOW))).alias(name), *df.columns)
+    low = F.col("_mid").bitwiseAND(F.lit(_LOW))
+    if len(offsets) <= MAX_LITERAL_KEYS:
+        # a map literal is searched linearly per row: only for a few keys
+        off_map = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
+        off = F.element_at(off_map, part).cast("bigint")
+        return tagged.select((off + low).alias(name), *df.columns)
+    # one row per partition: bounded by the partition count, so broadcast
+    offs = df.sparkSession.createDataFrame(list(offsets.items()), "_p long, _off long")
+    return (tagged.join(F.broadcast(offs), part == F.col("_p"))
+            .select((F.col("_off") + low).alias(name), *df.columns))
