@@ -45,3 +45,16 @@ def test_stream_replay_is_idempotent(spark):
     keys = df.groupBy("cache_key", "neg_idx").count()
     assert keys.filter("count > 1").count() == 0
     assert df.count() > 0
+
+
+def test_in_batch_with_negatives(spark):
+    rows = [(i, i, 1000 + i, 2000 + i if i % 2 == 0 else None) for i in range(70)]
+    p = spark.createDataFrame(rows, "pair_key long, anchor_id long, positive_id long, negative_id long")
+    c = D.in_batch_candidates(p, batch=32)
+    per = {r["anchor_id"]: (r["batch_id"], r["count"]) for r in c.groupBy("batch_id", "anchor_id").count().collect()}
+    assert len(per) == 64                      # 70 pairs -> two full batches, 6 dropped
+    n_neg = {r["batch_id"]: r["n"] for r in c.filter("candidate_id >= 2000").groupBy("batch_id")
+             .agg(F.countDistinct("candidate_id").alias("n")).collect()}
+    assert all(cnt == 32 + n_neg.get(b, 0) for b, cnt in per.values())
+    pos = c.filter("is_positive").groupBy("anchor_id").count().collect()
+    assert all(r["count"] == 1 for r in pos) and len(pos) == 64
