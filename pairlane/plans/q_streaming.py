@@ -26,4 +26,4 @@ def _stream_responses(spark, sf):
     prods = N.products(pairs(spark, sf), 5).select("id_left", "pair_id", "product_text", "cache_key")
     sink, ckpt = work_path(spark, "stream-sink"), work_path(spark, "stream-ckpt")
     stream_responses(spark, f"{src}/*", prods, sink, ckpt)
-    return spark.read.parquet(sink).drop("batch_id")
+    return spark.read.parquet(sink).drop("batch_id", "key_bucket")

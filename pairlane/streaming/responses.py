@@ -5,6 +5,8 @@ each answer (stateless), drops repeats of the same (pair, item) within the
 watermark, and appends only answers whose cache key is not cached yet.
 The append runs in ``foreachBatch`` with an anti join against the cache
 table, so a replayed batch (after a failure) or a late repeat adds nothing.
+The sink is partitioned by a hash bucket of the key, so a micro-batch reads
+only the buckets its keys fall into.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ def parse_good(responses: DataFrame, text_col: str = "response") -> DataFrame:
 
 def stream_responses(spark: SparkSession, source_dir: str, products: DataFrame, sink_dir: str,
                      checkpoint_dir: str, watermark: str = "1 hour",
-                     files_per_trigger: int = 1) -> None:
+                     files_per_trigger: int = 1, key_buckets: int = 64) -> None:
     """Run the stream to completion over the files present now
     (``availableNow``).  ``products(id_left, pair_id, product_text,
     cache_key)`` is a static table joined in each micro-batch."""
@@ -48,12 +50,19 @@ def stream_responses(spark: SparkSession, source_dir: str, products: DataFrame,
                         F.col("item_idx").cast("int").alias("neg_idx"),
                         F.col("event_time").cast("string").alias("timestamp"),
                         F.lit(batch_id).cast("long").alias("batch_id")))
-        try:
-            have = spark.read.parquet(sink_dir).select("cache_key").distinct()
-            recs = recs.join(have, "cache_key", "left_anti")
-        except Exception:  # first batch: the sink does not exist yet
-            pass
-        recs.write.mode("append").parquet(sink_dir)
+        recs = recs.withColumn("key_bucket", F.pmod(F.xxhash64("cache_key"), F.lit(key_buckets)))
+        recs = recs.persist()
+        buckets = [r[0] for r in recs.select("key_bucket").distinct().collect()]  # <= key_buckets
+        if buckets:
+            try:
+                # only the sink buckets this batch touches are read (partition pruning)
+                have = (spark.read.parquet(sink_dir).filter(F.col("key_bucket").isin(buckets))
+                        .select("cache_key").distinct())
+                recs = recs.join(have, "cache_key", "left_anti")
+            except Exception:  # first batch: the sink does not exist yet
+                pass
+            recs.write.mode("append").partitionBy("key_bucket").parquet(sink_dir)
+        recs.unpersist()
 
     q = (good.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
