@@ -58,3 +58,11 @@ def test_in_batch_with_negatives(spark):
     assert all(cnt == 32 + n_neg.get(b, 0) for b, cnt in per.values())
     pos = c.filter("is_positive").groupBy("anchor_id").count().collect()
     assert all(r["count"] == 1 for r in pos) and len(pos) == 64
+
+
+def test_word2vec_encoder(spark):
+    df = spark.createDataFrame([(1, "small ring 11"), (2, "ring small 12"), (3, "red bolt")],
+                               "id long, t string")
+    v = {r["id"]: r["vec"] for r in D.encode_texts(df, "t", "id", encoder="word2vec").collect()}
+    assert set(v) == {1, 2, 3} and all(len(x) == 64 for x in v.values())
+    assert abs(np.linalg.norm(v[1]) - 1) < 1e-5
