@@ -159,3 +159,33 @@ def validate_pairs(df: DataFrame) -> dict:
     if r["n_null_label"] or r["n_bad_label"]:
         raise ValueError(f"invalid labels: {r}")
     return r
+
+
+def source_files(spark: SparkSession, root: str, category: str, size: str) -> dict:
+    """List the data files below ``root`` (file metadata only), keep those of
+    the category/size, classify each by its path and prefer Parquet: when
+    any Parquet file is accepted, ``.json.gz`` files are ignored.
+    Returns {split: [paths]}."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    it = fs.listFiles(base, True)
+    rels = []
+    prefix = fs.makeQualified(base).toString().rstrip("/") + "/"
+    while it.hasNext():
+        p = it.next().getPath().toString()
+        rel = p[len(prefix):] if p.startswith(prefix) else p
+        low = rel.lower()
+        if (low.endswith(".parquet") or low.endswith(".json.gz")) and \
+                low.startswith(f"{category.lower()}/") and size.lower() in low:
+            rels.append(rel)
+    parquet = [r for r in rels if r.lower().endswith(".parquet")]
+    chosen = parquet if parquet else [r for r in rels if r.lower().endswith(".json.gz")]
+    out: dict = {"train": [], "validation": [], "test": []}
+    for r in sorted(chosen):
+        low = r.lower()
+        split = ("test" if ("test" in low or "gs" in low or "gold" in low)
+                 else "validation" if ("valid" in low or "val" in low) else "train")
+        out[split].append(prefix + r)
+    return out

@@ -34,3 +34,20 @@ def test_blank_pair_id_is_derived(spark):
     raw = raw.withColumn("nodeId_left", F.when(F.col("id_right") == "d", F.lit("n")))
     out = {r["id_right"]: r["pair_id"] for r in normalise_raw_pairs(raw).collect()}
     assert out == {"b": "a#b", "d": "n#d"}
+
+
+def test_source_files_prefers_parquet(spark, tmp_path):
+    from pairlane.sources.pairs_io import source_files
+    root = tmp_path / "hub"
+    for rel in ["computers/xlarge/train.json.gz", "computers/xlarge/computers_gs.json.gz",
+                "cameras/xlarge/train.json.gz"]:
+        f = root / rel
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"")
+    got = source_files(spark, str(root), "computers", "xlarge")
+    assert [len(got[k]) for k in ("train", "validation", "test")] == [1, 0, 1]
+    for rel in ["computers/xlarge/train-0.parquet", "computers/xlarge/valid-0.parquet"]:
+        (root / rel).write_bytes(b"")
+    got = source_files(spark, str(root), "computers", "xlarge")
+    assert all(p.endswith(".parquet") for v in got.values() for p in v)
+    assert [len(got[k]) for k in ("train", "validation", "test")] == [1, 1, 0]
