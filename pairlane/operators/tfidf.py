@@ -115,10 +115,15 @@ def sparse_scores(qv: DataFrame, dv: DataFrame) -> DataFrame:
             .agg(F.round(F.sum(F.col("wq") * F.col("wd")), SCORE_DIGITS).alias("score")))
 
 
-def estimated_pairs(qv: DataFrame, dv: DataFrame) -> int:
-    """Rows the term join would produce: sum over terms of qdf * ddf."""
+def estimated_pairs(qv: DataFrame, dv: DataFrame, vocab: DataFrame | None = None) -> int:
+    """Rows the term join would produce: sum over terms of qdf * ddf.  With
+    the fitted vocabulary its document frequencies are used directly (no
+    pass over the document vectors)."""
     qd = qv.groupBy("term_id").agg(F.count(F.lit(1)).alias("nq"))
-    dd = dv.groupBy("term_id").agg(F.count(F.lit(1)).alias("nd"))
+    if vocab is not None:
+        dd = vocab.select("term_id", F.col("df").alias("nd"))
+    else:
+        dd = dv.groupBy("term_id").agg(F.count(F.lit(1)).alias("nd"))
     r = qd.join(dd, "term_id").agg(F.sum(F.col("nq") * F.col("nd"))).first()[0]
     return int(r or 0)
 
@@ -131,11 +136,11 @@ def _packed(v: DataFrame, id_col: str) -> DataFrame:
 
 def rank_queries(qv: DataFrame, dv: DataFrame, positives: DataFrame, n_queries: int,
                  n_corpus: int, strategy: str = "auto", dense_ratio: float = 0.02,
-                 block: int = 2048) -> DataFrame:
+                 block: int = 2048, vocab: DataFrame | None = None) -> DataFrame:
     """Exact ranks by the sparse join when the join is sparse, else by
     blocked counting.  Both give the same ranks."""
     if strategy == "auto":
-        est = estimated_pairs(qv, dv)
+        est = estimated_pairs(qv, dv, vocab)
         strategy = "sparse" if est <= max(2_000_000, dense_ratio * n_queries * n_corpus) else "blocked"
     if strategy == "sparse":
         return positive_rank(sparse_scores(qv, dv), positives)

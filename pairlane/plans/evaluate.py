@@ -19,7 +19,8 @@ def tfidf_ranks(pairs: DataFrame, params: TfidfParams = TfidfParams(),
     qv = reuse(tfidf_vectors(
         model, es.queries.select("query_id", F.col("query_text").alias("text")), "query_id"))
     n_q = es.queries.count()
-    ranks = rank_queries(qv, model.doc_vectors, es.positives, n_q, es.n_corpus, strategy)
+    ranks = rank_queries(qv, model.doc_vectors, es.positives, n_q, es.n_corpus, strategy,
+                         vocab=model.vocab)
     return es, model, qv, ranks.join(es.queries.select("query_id", "n_rows"), "query_id")
 
 

@@ -6,6 +6,18 @@ import pytest
 from pairlane.operators.tfidf import rank_queries, rank_topk
 
 
+@pytest.fixture(autouse=True)
+def spread_partitions(spark):
+    """Keep every shuffle partition: with coalescing on, tiny inputs collapse
+    into one partition and would hide cogroup key mismatches between the two
+    sides of a tile."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, old)
+
+
 def _random_case(seed, nq=40, nd=70, V=30):
     rng = np.random.default_rng(seed)
     Q = np.zeros((nq, V))
