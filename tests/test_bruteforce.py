@@ -74,3 +74,31 @@ def test_topk_matches_brute_force(spark):
             got.setdefault(r["query_id"], {})[r["rank"]] = r["corpus_idx"]
         got = {q: [v[k] for k in sorted(v)] for q, v in got.items()}
         assert {q: v for q, v in want.items() if v} == got, strategy
+
+
+def test_same_group_jaccard_topk_matches_brute_force(spark):
+    from pairlane.plans.blocked import blocked_jaccard_topk
+    rng = np.random.default_rng(5)
+    n, V = 90, 25
+    toks = [sorted(set(rng.integers(0, V, rng.integers(1, 7)).tolist())) for _ in range(n)]
+    grp = [f"b{int(g)}" for g in rng.integers(0, 4, n)]
+    items = spark.createDataFrame([(i, toks[i], grp[i]) for i in range(n)],
+                                  "idx long, term_ids array<long>, grp string")
+    got = {}
+    for r in blocked_jaccard_topk(items, 3, n, block=16).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["corpus_idx"]
+    got = {q: [v[k] for k in sorted(v)] for q, v in got.items()}
+    want = {}
+    for i in range(n):
+        a = set(toks[i])
+        cand = []
+        for j in range(n):
+            if j == i or grp[j] != grp[i]:
+                continue
+            b = set(toks[j])
+            jac = round(len(a & b) / len(a | b), 9)
+            if jac > 0:
+                cand.append((-jac, j))
+        if cand:
+            want[i] = [j for _, j in sorted(cand)[:3]]
+    assert got == want
