@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from pairlane.operators.dense import dense_topk
 from pairlane.operators.tfidf import rank_queries, rank_topk
 
 
@@ -102,3 +103,15 @@ def test_same_group_jaccard_topk_matches_brute_force(spark):
         if cand:
             want[i] = [j for _, j in sorted(cand)[:3]]
     assert got == want
+
+
+def test_dense_topk_brute_force(spark):
+    rng = np.random.default_rng(3)
+    Q, C = rng.standard_normal((20, 5)), rng.standard_normal((50, 5))
+    q = spark.createDataFrame([(i, Q[i].tolist()) for i in range(20)], "query_id long, vec array<double>")
+    c = spark.createDataFrame([(i, C[i].tolist()) for i in range(50)], "corpus_idx long, vec array<double>")
+    got = {(r["query_id"], r["rank"]): r["corpus_idx"] for r in dense_topk(q, c, 3, block=16).collect()}
+    S = Q @ C.T
+    for i in range(20):
+        order = sorted(range(50), key=lambda j: (-round(S[i, j], 9), j))[:3]
+        assert [got[(i, k)] for k in (1, 2, 3)] == order
