@@ -26,8 +26,13 @@ def op7_token_file(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZER
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pairlane.llm import secrets
-    return secrets.report(table(spark, sf_dir, "documents"))
+    from pairlane.llm import credentials
+    return credentials.report(table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairlane.llm.ngram_join import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), 4, 85)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +40,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_packing, op7_token_file, op8_secrets, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_packing, op7_token_file, op8_secrets, op9_ngram_join, op10_toxicity)}
 
 SQL: dict[str, str] = {}
