@@ -11,7 +11,7 @@ from pairlane.session import ensure_checkpoint_dir
 
 #: Rows per Arrow batch handed to a Python worker: whole texts are long, so a
 #: batch stays at some tens of MB even where every text is.
-BATCH_ROWS = 400
+BATCH_ROWS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

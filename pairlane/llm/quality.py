@@ -116,16 +116,23 @@ def features(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumns({"base_failed": base_failed(), "rule": compiled(rules)})
 
 
+def passes() -> Column:
+    """The verdict.  The row number (never negative) keeps a filter on it above
+    the feature projections; pushed below them it would repeat their expressions
+    for every use."""
+    return ~F.col("base_failed") & F.col("rule").isNull() & (F.monotonically_increasing_id() >= 0)
+
+
 def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     """The counts, ``base_failed``, the broken ``rule`` and ``kept`` of every row
     of ``docs`` (``doc_id`` and ``text``; other columns are not read)."""
     return features(docs.select("doc_id", "text"), rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
+        passes().alias("kept"), "rule")
 
 
 def keep(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` whose text passes, with their own columns alone
     (whatever their names)."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("pl_row"), "text")
-    return features(packed, rules).where("NOT base_failed AND rule IS NULL").select("pl_row.*")
+    return features(packed, rules).select("pl_row", passes().alias("kept")).where("kept").select("pl_row.*")
