@@ -42,3 +42,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+class Recent:
+    """A bounded cache of two generations: what was used since the last turn
+    stays when the older half goes."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def turn(self) -> dict:
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
+        return self.new
+
+    def unknown(self, keys) -> list:
+        """Those of ``keys`` that must be computed; older ones come back."""
+        out, new, old = [], self.new, self.old
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    out.append(k)
+        return out

@@ -32,9 +32,11 @@ from pairlane.llm.common import small_batches, stored
 from pairlane.llm.shingles import shingle_sets
 
 #: Counters of the frequency estimate: 2**HEAT_BITS, whatever the input.
-HEAT_BITS, HEAT_PARTS = 18, 64
+HEAT_BITS, HEAT_PARTS = 21, 64
 #: Longest extra prefix, and the cost of a shipped shingle against a verified pair.
-MAX_MATCHES, SHIP_COST, VERIFY_COST = 4, 1.0, 8.0
+#: (whose two whole sets travel), in prefix shingles; COLD is the expected
+#: number of partners of a shingle that the estimate calls rare.
+MAX_MATCHES, SHIP_COST, VERIFY_COST, COLD = 8, 1.0, 200.0, 0.2
 #: Prefix shingles of more classes than this are joined in tiles.
 HOT = 32
 #: Shingles (of all members) in one side of a tile.
@@ -58,27 +60,30 @@ def heat_table(docs: DataFrame, n: int) -> np.ndarray:
     per = (1 << HEAT_BITS) // HEAT_PARTS
 
     def count(batches):
-        total = np.zeros(1 << HEAT_BITS, np.int64)
+        total = np.zeros(1 << HEAT_BITS, np.int32)
         for pdf in batches:
             got = list(shingle_sets(pdf["text"], n))
             if got:
                 top = (np.concatenate(got) >> np.uint64(64 - HEAT_BITS)).astype(np.int64)
-                total += np.bincount(top, minlength=1 << HEAT_BITS)
+                place, times = np.unique(top, return_counts=True)
+                total[place] += times.astype(np.int32)
         yield pd.DataFrame({"part": range(HEAT_PARTS), "counts": [
             zlib.compress(total[k * per:(k + 1) * per].tobytes(), 1) for k in range(HEAT_PARTS)]})
 
     def add(key, pdf):
-        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"part": [int(key[0])], "counts": [total.tobytes()]})
+        total = np.zeros(per, np.int64)
+        for c in pdf["counts"]:
+            total += np.frombuffer(zlib.decompress(c), np.int32)
+        return pd.DataFrame({"part": [int(key[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "part int, counts binary"
     rows = docs.select("text").mapInPandas(count, schema).groupBy("part").applyInPandas(add, schema).collect()
     if not rows:
         return np.zeros(1 << HEAT_BITS, np.uint8)
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["part"])])
+    counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in sorted(rows, key=lambda r: r["part"])])
     usual = float(np.median(counts))
     excess = counts - usual
-    return np.where(excess > 6 * np.sqrt(usual) + 6, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
+    return np.where(excess > 2.5 * np.sqrt(usual) + 2, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
 
 
 def adaptive_prefix(s: np.ndarray, heat: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
@@ -90,7 +95,7 @@ def adaptive_prefix(s: np.ndarray, heat: np.ndarray, percent: int) -> tuple[int,
     order = np.argsort(cls, kind="stable")[:base + longest]
     # expected partners of each prefix shingle; hot ones cost the same in tiles
     # however many matches are asked for
-    z = np.where(cls[order] > 0, 2.0 ** (cls[order].astype(float) - 1), 0.05)
+    z = np.where(cls[order] > 0, 2.0 ** (cls[order].astype(float) - 1), COLD)
     pairs = np.cumsum(np.where(z <= HOT, z, 0))
     tiles = np.cumsum(np.where(z > HOT, float(len(s)), 0))
     costs = [SHIP_COST * (base + k) + VERIFY_COST * pairs[base + k - 1] / k + tiles[base + k - 1]

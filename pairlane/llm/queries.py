@@ -15,11 +15,32 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str, rules=None) -> DataFrame
     return quality.judge(table(spark, sf_dir, "documents"), rules or quality.RULES)
 
 
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairlane.llm.perspectives import rotate
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    from pairlane.llm.token_counts import count_tokens
+    return count_tokens(table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    from pairlane.llm.lattice import encode_documents
+    return encode_documents(table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     from pairlane.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json", 1, SEQUENCE)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairlane.llm.topk import integer_vectors, top_k
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     from pairlane.llm.dac import token_file
     return token_file(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", 2)
@@ -40,6 +61,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_packing, op7_token_file, op8_secrets, op9_ngram_join, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_perspectives, op3_token_counts, op4_sentencepiece,
+                                   op5_packing, op6_topk, op7_token_file, op8_secrets,
+                                   op9_ngram_join, op10_toxicity)}
+
+from pairlane.llm.perspectives import ROTATE_SQL  # noqa: E402
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_perspectives": ROTATE_SQL}

@@ -4,7 +4,7 @@ A text is cut where the tokenizer's own pre-tokenizer always cuts: before a
 blank that follows a character that is no white space.  The ids of a text are
 then the ids of its chunks in order, and a chunk that was seen before need not
 be encoded again.  Every chunk is encoded by the library itself; the cache
-holds at most ``MAX_CACHED`` chunks in a worker and starts anew beyond that.
+holds at most twice ``MAX_CACHED`` chunks in a worker, the latest used.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from __future__ import annotations
 import os
 import re
 
-MAX_CACHED = 500_000
+from pairlane.llm.common import Recent
+
+MAX_CACHED = 800_000
 #: Longer chunks are encoded but not kept, so the cache is bounded in bytes.
 MAX_CHUNK = 200
 
@@ -35,7 +37,7 @@ class ChunkEncoder:
         # the strings of special tokens are ordinary text in a document
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
-        self.known: dict = {}
+        self.known = Recent(MAX_CACHED)
 
     def chunks(self, text: str) -> list[str]:
         if not self.keeps_space:
@@ -48,22 +50,19 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         import numpy as np
-        if len(self.known) > MAX_CACHED:
-            self.known.clear()
+        known, extra = self.known.turn(), {}
         cut = [self.chunks(t) for t in texts]
-        known, extra = self.known, {}
-        new = [w for w in set().union(*cut) if w not in known]
+        found = [list(map(known.get, c)) for c in cut]
+        holes = [[k for k, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        new = self.known.unknown({c[k] for c, h in zip(cut, holes) for k in h})
         for at in range(0, len(new), 4096):
             part = new[at:at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = np.array(e.ids, dtype="<u4").tobytes()
-                if len(w) <= MAX_CHUNK:
-                    known[w] = ids
-                else:
-                    extra[w] = ids
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in c]) for c in cut]
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+                (known if len(w) <= MAX_CHUNK else extra)[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for c, f, h in zip(cut, found, holes):
+            for k in h:
+                f[k] = known[c[k]] if c[k] in known else extra[c[k]]
+        return [b"".join(f) for f in found]
 
 
 _ENCODERS: dict = {}

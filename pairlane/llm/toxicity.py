@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlane.llm.common import small_batches, table, text_or_empty
+from pairlane.llm.common import Recent, small_batches, table, text_or_empty
 
 #: Bounds of the training sample (rows of each class).
 MAX_TOXIC, MAX_CLEAN = 1200, 3000
@@ -36,7 +36,7 @@ MIN_GRAM, MAX_GRAM = 3, 6
 EPOCHS = 120
 LEARNING_RATE = 0.03
 SHARPNESS = 2.0
-#: Words a worker keeps scored; it starts anew beyond that.
+#: Words a worker keeps scored, in each of two generations.
 MAX_CACHED = 400_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -152,21 +152,20 @@ class Scorer:
     def __init__(self, model: bytes):
         self.bias = float(np.frombuffer(model, "<f4", 1)[0])
         self.by_bucket = np.frombuffer(model, "<f4", offset=4)
-        self.known: dict = {}
+        self.known = Recent(MAX_CACHED)
 
     def learn(self, words: set) -> None:
         """Score words that are not known yet, all at once; a word of marks
         alone has no score."""
-        if len(self.known) > MAX_CACHED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+        known = self.known.turn()
+        new = self.known.unknown(words)
         cores = [core_of(w) for w in new]
         full = [c for c in cores if c]
         if full:
             word, bucket = gram_table(full)
             mean = np.bincount(word, self.by_bucket[bucket], len(full)) / np.bincount(word, minlength=len(full))
         at = iter(mean.tolist() if full else [])
-        self.known.update((w, next(at) if c else None) for w, c in zip(new, cores))
+        known.update((w, next(at) if c else None) for w, c in zip(new, cores))
 
     def scores(self, texts: list[str]) -> list[float]:
         """The probability of label 1; a text without words has the bias alone."""
@@ -178,7 +177,7 @@ class Scorer:
         return out
 
     def _one(self, words: set) -> float:
-        got = [s for s in map(self.known.__getitem__, words) if s is not None]
+        got = [s for s in map(self.known.new.__getitem__, words) if s is not None]
         logit = self.bias
         if got:
             s = np.sort(np.array(got))  # a fixed order, so a fixed sum
