@@ -120,7 +120,7 @@ def _listed(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Counts per base kind, digest of the base spans and all spans of every row."""
     df = scan(docs.select("doc_id", "text"), keep_text=False)
-    counts = [F.size(F.filter("pl_base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}")
+    counts = [F.expr(f"cast(size(filter(pl_base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}")
               for i, (k, *_) in enumerate(BASE)]
     return df.select("doc_id", *counts, F.sha2(_listed(F.col("pl_base")), 256).alias("base_sha256"),
                      _listed(F.col("pl_spans")).alias("spans"))

@@ -68,7 +68,7 @@ def gram_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(code), np.uint64)
     for n in range(1, MAX_GRAM + 1):
         shifted = np.zeros(len(code), np.uint64)
-        shifted[:len(code) - n + 1] = code[n - 1:]
+        shifted[:max(0, len(code) - n + 1)] = code[n - 1:]
         h = h * base + shifted + np.uint64(1)
         if n >= MIN_GRAM:
             ok = left >= n
