@@ -180,7 +180,8 @@ def word_ngrams(tokens: Column, max_n: int = 2) -> Column:
 def char_wb_ngrams(col: "str | Column", min_n: int = 1, max_n: int = 2,
                    strip_accents: str | None = "jvm") -> Column:
     """Character n-grams inside space-padded words (``char_wb`` analyzer).
-    A padded word shorter than n yields itself once."""
+    A padded word no longer than the smallest n yields itself once; longer
+    n-grams come only from words that have them."""
     x = F.lower(_c(col))
     if strip_accents == "jvm":
         x = fold_accents(x)
@@ -193,6 +194,9 @@ def char_wb_ngrams(col: "str | Column", min_n: int = 1, max_n: int = 2,
             F.sequence(F.lit(0), F.greatest(F.length(w) - n, F.lit(0))),
             lambda i: F.substring(w, i + 1, F.lit(n)))
 
-    per_n = [F.flatten(F.transform(padded, grams_of(n)))
+    def long_enough(n):
+        return padded if n == min_n else F.filter(padded, lambda w: F.length(w) >= n)
+
+    per_n = [F.flatten(F.transform(long_enough(n), grams_of(n)))
              for n in range(min_n, max_n + 1)]
     return F.concat(*per_n) if len(per_n) > 1 else per_n[0]

@@ -64,7 +64,7 @@ def _quotas_py(counts: list[tuple], fraction: float) -> dict:
         cont = [(c, n / n_tot * n_draw) for c, n in rows]
         fl = {c: math.floor(v) for c, v in cont}
         need = n_draw - sum(fl.values())
-        order = sorted(cont, key=lambda cv: (-(cv[1] - math.floor(cv[1])), cv[0]))
+        order = sorted(cont, key=lambda cv: (-(cv[1] - math.floor(cv[1])), cv[0] is not None, cv[0]))
         for i, (c, _) in enumerate(order):
             out[(g, c)] = fl[c] + (1 if i < need else 0)
     return out
@@ -106,13 +106,18 @@ def rank_in_class(df: DataFrame, seed: int, salt: str, key: str = "pair_id",
             m = F.create_map(*[x for k, v in qmap.items() for x in (F.lit(k), F.lit(v))])
             out = out.withColumn(name, F.col("_rk") <= F.element_at(m, sk))
         return out.drop("_gidx", "_h")
-    starts = idx.groupBy(*g, col).agg(F.min("_gidx").alias("_start"))
-    out = (idx.join(starts, [*g, col])
+    # the stratum key is a string that is never NULL, so NULL strata join too
+    idx = idx.withColumn("_sk", sk)
+    starts = idx.groupBy("_sk").agg(F.min("_gidx").alias("_start"))
+    out = (idx.join(starts, "_sk")
            .withColumn("_rk", F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start", "_h"))
     for name, frac in (fractions or {}).items():
-        q = class_quotas(df, frac, col, g).select(*g, col, F.col("quota").alias(f"_q_{name}"))
-        out = out.join(q, [*g, col]).withColumn(name, F.col("_rk") <= F.col(f"_q_{name}")).drop(f"_q_{name}")
-    return out
+        if frac >= 1.0:
+            out = out.withColumn(name, F.lit(True))
+            continue
+        q = class_quotas(df, frac, col, g).select(sk.alias("_sk"), F.col("quota").alias(f"_q_{name}"))
+        out = out.join(q, "_sk").withColumn(name, F.col("_rk") <= F.col(f"_q_{name}")).drop(f"_q_{name}")
+    return out.drop("_sk")
 
 
 def tag_fraction(df: DataFrame, fraction: float, seed: int, salt: str, key: str = "pair_id",

@@ -70,3 +70,24 @@ def test_sample_exact_size(spark):
     q = {r["label"]: r["quota"] for r in SP.class_quotas(df, 0.1).collect()}
     got = {r["label"]: r["count"] for r in s.groupBy("label").count().collect()}
     assert got == q
+
+
+def test_null_strata_survive_at_any_number_of_strata(spark):
+    from pyspark.sql import functions as F
+    from pairlane.operators.splits import rank_in_class
+    for groups in (5, 32, 33, 400):
+        df = (spark.range(2000).withColumn("pair_id", F.concat(F.lit("p"), F.col("id")))
+              .withColumn("g", F.when(F.col("id") % 10 > 0, (F.col("id") % groups).cast("string")))
+              .withColumn("label", (F.col("id") % 2).cast("int")))
+        out = rank_in_class(df, 1, "t", groups=["g"], fractions={"half": 0.5})
+        assert out.count() == 2000
+        assert out.where("g IS NULL").count() == 200
+        per = out.groupBy("g").agg(F.count("*").alias("n"), F.count_if("half").alias("h")).collect()
+        assert all(r.h == -(-r.n // 2) for r in per)
+
+
+def test_char_wb_counts_short_words_once(spark):
+    from pairlane.functions.text import char_wb_ngrams
+    df = spark.createDataFrame([("a bc",)], "t string")
+    got = sorted(df.select(char_wb_ngrams("t", 2, 4)).first()[0])
+    assert got == sorted([" a", "a ", " a ", " b", "bc", "c ", " bc", "bc ", " bc "])
