@@ -47,15 +47,19 @@ class SortedLists:
         exact = self.largest * float(np.abs(q.astype(np.float64)).max(initial=0)) * dims < 2.0 ** 53
         x, weights = (self.as_float, q.astype(np.float64)) if exact else (self.x, q)
         used = np.flatnonzero(q)
-        lists = np.where((q[used] > 0)[:, None], self.up[used, ::-1], self.up[used]) if len(used) else \
-            np.zeros((0, n), np.int64)
+        rising = (q[used] > 0)[:, None]
+
+        def lists(a, z):
+            """Places a to z of the lists of the used dimensions, best first."""
+            return np.where(rising, self.up[used, n - z:n - a][:, ::-1], self.up[used, a:z])
+
         met, depth, best = np.zeros(n, bool), 0, []
         step = FIRST_DEPTH
         while depth < n and not met.all():  # with all met there is nothing left to bound
             deeper = min(n, depth + step) if len(used) else n
             fresh = np.zeros(n, bool)
             if len(used):
-                fresh[lists[:, depth:deeper].ravel()] = True
+                fresh[lists(depth, deeper).ravel()] = True
             else:
                 fresh[:] = True  # a query of zeros scores everyone 0
             fresh &= ~met
@@ -71,7 +75,7 @@ class SortedLists:
                 best += [(int(s), int(i)) for s, i in zip(score, self.ids[new]) if i != own]
                 best = sorted(set(best), key=lambda r: (-r[0], r[1]))[:k]
             if len(best) == k and depth < n:
-                bound = (x[lists[:, depth - 1], used] * weights[used]).sum() if len(used) else 0
+                bound = (x[lists(depth - 1, depth)[:, 0], used] * weights[used]).sum() if len(used) else 0
                 if best[-1][0] > bound:
                     break
         return best
