@@ -3,14 +3,19 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts: before a
 blank that follows a character that is no white space.  The ids of a text are
 then the ids of its chunks in order, and a chunk that was seen before need not
-be encoded again.  Every chunk is encoded by the library itself; the cache
-holds at most twice ``MAX_CACHED`` chunks in a worker, the latest used.
+be encoded again; a new one is cut further (``parts``), so that ``word`` and
+``word,`` are encoded once.  Every part is encoded by the library itself, many
+in one call; the cache holds at most twice ``MAX_CACHED`` chunks and parts in a
+worker, the latest used.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
+
+import numpy as np
 
 from pairlane.llm.common import Recent
 
@@ -21,6 +26,12 @@ MAX_CHUNK = 200
 #: White space followed by a blank: there the blank is no safe cut.
 _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: A line break on its own between other characters is a part of its own.
+_LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
+#: Signs that end a run of letters and never start a contraction.
+_SIGNS = string.punctuation.replace("'", "")
+#: Letters below are letters in every version of Unicode.
+_LATIN = "\u0250"
 
 
 class ChunkEncoder:
@@ -38,6 +49,16 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
         self.known = Recent(MAX_CACHED)
+        self.bare = self.tokenizer
+        if not keeps_space:  # for text that the library has normalised already
+            from tokenizers import normalizers
+            self.bare = Tokenizer.from_file(path)
+            self.bare.encode_special_tokens = True
+            self.bare.normalizer = normalizers.Sequence([])
+        # one character of a token stands for one byte
+        self.width = np.zeros(self.bare.get_vocab_size(), dtype=np.int64)
+        for token, i in self.bare.get_vocab().items():
+            self.width[i] = len(token if keeps_space else token.removesuffix("</w>"))
 
     def chunks(self, text: str) -> list[str]:
         if not self.keeps_space:
@@ -48,17 +69,76 @@ class ChunkEncoder:
         head, *rest = text.split(" ")
         return ([head] if head else []) + [" " + w for w in rest]
 
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk cut where the pre-tokenizer cuts it in any text: at a single
+        line break, and between a letter and the signs that end it.  ASCII words
+        of a lower-casing vocabulary come in lower case."""
+        if not self.keeps_space:
+            lines = [chunk.lower() if chunk.isascii() else chunk]
+        else:
+            lines = _LINE.split(chunk) if "\n" in chunk else [chunk]
+        out = []
+        for line in lines:
+            head = line.rstrip(_SIGNS)
+            if len(head) < len(line) and head and head[-1] < _LATIN and head[-1].lower().isalpha():
+                out += [head, line[len(head):]]
+            else:
+                out.append(line)
+        return out
+
+    def _singly(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes()
+                for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _together(self, parts: list[str]) -> list[bytes] | None:
+        """Ids of parts that the pre-tokenizer keeps apart, from one call; cut by
+        the bytes of the tokens.  None where the cuts do not meet the parts."""
+        if self.keeps_space:
+            text, words = "".join(parts), parts
+        else:
+            text = " ".join(parts)
+            if not text.isascii():
+                text = self.tokenizer.normalizer.normalize_str(text)
+            words = text.split(" ")
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = np.cumsum(self.width[ids])
+        wanted = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+        ends = np.searchsorted(stops, wanted) + 1
+        if len(words) != len(parts) or not len(ids) or stops[-1] != wanted[-1] or (stops[ends - 1] != wanted).any():
+            return None
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:z] for a, z in zip([0, *ends], ends)]
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each of ``parts``, in the given order."""
+        if self.keeps_space:
+            apart = [p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() for p in parts]
+        else:
+            apart = [True] * len(parts)
+        many = iter(self._batches([p for p, a in zip(parts, apart) if a], self._together))
+        single = iter(self._batches([p for p, a in zip(parts, apart) if not a], lambda _: None))
+        return [next(many) if a else next(single) for a in apart]
+
+    def _batches(self, parts: list[str], way) -> list[bytes]:
+        out = []
+        for at in range(0, len(parts), 1024):
+            part = parts[at:at + 1024]
+            got = way(part)
+            out += self._singly(part) if got is None else got
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
         known, extra = self.known.turn(), {}
         cut = [self.chunks(t) for t in texts]
         found = [list(map(known.get, c)) for c in cut]
         holes = [[k for k, ids in enumerate(f) if ids is None] if None in f else () for f in found]
         new = self.known.unknown({c[k] for c, h in zip(cut, holes) for k in h})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (known if len(w) <= MAX_CHUNK else extra)[w] = np.array(e.ids, dtype="<u4").tobytes()
+        split = list(map(self.parts, new))
+        fresh = self.known.unknown({p for ps in split for p in ps})
+        for p, ids in zip(fresh, self.encode_parts(fresh)):
+            (known if len(p) <= MAX_CHUNK else extra)[p] = ids
+        for w, ps in zip(new, split):
+            (known if len(w) <= MAX_CHUNK else extra)[w] = b"".join(known[p] if p in known else extra[p] for p in ps)
         for c, f, h in zip(cut, found, holes):
             for k in h:
                 f[k] = known[c[k]] if c[k] in known else extra[c[k]]

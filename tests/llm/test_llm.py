@@ -123,6 +123,23 @@ def test_token_file(docs):
     assert [r[0] for r in got] == sorted([r[0] for r in got], key=lambda i: (i is not None, i or 0))
 
 
+@pytest.mark.parametrize("name,keeps_space", [("word_bpe_49k", False), ("byte_bpe_50k", True)])
+def test_chunk_encoder_equals_library(name, keeps_space):
+    import random
+    from pairlane.llm.tokens import ChunkEncoder
+    enc = ChunkEncoder(f"/opt/tokenizers/{name}.json", keeps_space)
+    rng = random.Random(1)
+    signs = "aB'.,\n \t1é\u0300 İ😀<|_sS\u3000\x1c\x85"
+    texts = ["don't stop.", "a\n\nb\n c \n\n\nd", "<|endoftext|> a<|startoftext|>.", "</w> w</w>, x</w>", "", "  ",
+             "日本語。 中文, ١٢٣.", "ﬁne. ½. ǅ. ʰ. Ångstrom. ẞ. ΣΑΣ. İ."]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    for at in range(0, len(texts), 64):
+        part = texts[at:at + 64]
+        for text, ids in zip(part, enc.encode(part)):
+            want = enc.tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want, text
+
+
 def test_dac_random_access():
     rng = np.random.default_rng(1)
     ids = rng.choice([3, 200, 256, 40_000, 70_000, 2 ** 24 + 5], 3000).astype(np.uint32)
