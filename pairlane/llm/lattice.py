@@ -1,7 +1,13 @@
-"""SentencePiece encoding and decoding as joins: the distinct chunks of all texts
-are exploded into substrings up to the longest piece, equi-joined to the piece
-table, grouped back by chunk, and the lattice is folded by ``aggregate`` (Viterbi)
-into ids; documents then take the ids of their chunks in order.
+"""SentencePiece encoding and decoding as joins: the distinct chunks of a block of
+documents are exploded into substrings up to the longest piece, equi-joined to the
+piece table, grouped back by chunk, and the lattice is folded by ``aggregate``
+(Viterbi) into ids; the documents of the block then take the ids of their chunks.
+
+Documents are dealt round robin into blocks, one block to a shuffle partition, so a
+word that fills a third of all texts is one row in every block and never a hot key,
+and the texts are shuffled once: all that follows is grouped by block.  The edges of
+a block are about thirty times its text and are sorted in memory; more shuffle
+partitions make blocks smaller.
 
 The piece table has as many rows as the model file has pieces, so its broadcast
 is bounded by the file.  Tie rule: see ``pieces``.
@@ -9,42 +15,68 @@ is bounded by the file.  Tie rule: see ``pieces``.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlane.llm.common import stored, text_or_empty
+from pairlane.llm.common import shuffle_partitions, text_or_empty
 from pairlane.llm.pieces import BLANK, Pieces, load
 
+#: Latin letters; where no piece joins them to other characters, a chunk is cut
+#: between them and the rest, so that ``word`` and ``word,`` share their edges.
+LETTERS = "A-Za-z\u00c0-\u024f"
+CODED = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
+
+
+def chunk_pattern(pieces: Pieces) -> str:
+    """What one chunk is, for Java and Python alike: blanks and what follows them."""
+    letter = re.compile(f"[{LETTERS}]")
+    bare = [p.lstrip(BLANK) for p in pieces.score]
+    apart = all(len({letter.match(c) is None for c in p}) < 2 for p in bare)
+    body = f"(?:[{LETTERS}]+|[^{LETTERS} {BLANK}]+)" if apart else f"[^ {BLANK}]+"
+    return f"[ {BLANK}]*{body}|[ {BLANK}]+$"
+
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame([(p, s, pieces.id[p]) for p, s in pieces.score.items()],
                                  "piece string, piece_score double, id int")
 
 
-def chunk_array(text):
-    """The chunks of ``pieces.chunks`` as an array."""
+def word_array(text):
+    """The words of a text as an array, each with the blanks before it as blank
+    marks, one blank put before the text; an empty text has none."""
     marked = F.concat(F.lit(" "), text)
-    got = F.regexp_extract_all(marked, F.lit(r" *[^ ]+| +$"), F.lit(0))
-    return F.when(F.length(text) > 0, F.transform(got, lambda c: F.replace(c, F.lit(" "), F.lit(BLANK)))) \
-            .otherwise(F.array().cast("array<string>"))
+    runs = F.regexp_extract_all(marked, F.lit(r" *[^ ]+| +$"), F.lit(0))
+    return (F.when(F.length(text) == 0, F.array().cast("array<string>"))
+            .when(marked.contains("  ") | text.endswith(" "), F.transform(runs, lambda w: F.replace(w, F.lit(" "), F.lit(BLANK))))
+            .otherwise(F.transform(F.split(text, " "), lambda w: F.concat(F.lit(BLANK), w))))
 
 
 def encode_chunks(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``chunk`` -> ``ids`` for a table of distinct chunks."""
+    """The folded lattice (see ``follow``) of every row of a table of distinct
+    (block, chunk), grouped by block."""
     spark = words.sparkSession
-    table = F.broadcast(piece_table(spark, pieces))
+    # the hash is the key of the join, as a number; the piece decides
+    table = F.broadcast(piece_table(spark, pieces).withColumnRenamed("piece", "known").withColumn("hash", F.xxhash64("known")))
     n = F.length("chunk")
-    places = words.select("chunk", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("stop"))
-    parts = places.select("chunk", "n", "stop", F.explode(F.sequence(
+    # one number a chunk, ascending within a task: the groups below come in order
+    places = (words.select("block", "chunk", F.monotonically_increasing_id().alias("word"))
+              .select("*", F.explode(F.sequence(F.lit(1), n)).alias("stop")))
+    parts = places.select("*", F.explode(F.sequence(
         F.lit(1), F.least(F.col("stop"), F.lit(pieces.longest)))).alias("len"))
     parts = parts.withColumn("start", F.col("stop") - F.col("len")) \
                  .withColumn("piece", F.expr("substring(chunk, start + 1, len)"))
-    edges = (parts.join(table, "piece", "left").where("id IS NOT NULL OR len = 1")
-             .select("chunk", "n", "stop", F.struct(
-                 "start", F.coalesce("piece_score", F.lit(pieces.unknown_score)).alias("s"),
-                 F.coalesce("id", F.lit(-1)).alias("id")).alias("edge")))
-    nodes = edges.groupBy("chunk", "n", "stop").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    lattice = nodes.groupBy("chunk", "n").agg(F.sort_array(F.collect_list(F.struct("stop", "edges"))).alias("nodes"))
+    edges = (parts.join(table, (F.xxhash64("piece") == F.col("hash")) & (F.col("piece") == F.col("known")), "left").where("id IS NOT NULL OR len = 1")
+             .select("word", "block", "chunk", "stop", "start",
+                     F.coalesce("piece_score", F.lit(pieces.unknown_score)).alias("s"),
+                     F.coalesce("id", F.lit(-1)).alias("id")))
+    nodes = edges.groupBy("word", "block", "chunk", "stop").agg(
+        F.sort_array(F.collect_list(F.struct("start", "s", "id"))).alias("edges"))
+    lattice = nodes.groupBy("word", "block", "chunk").agg(
+        F.sort_array(F.collect_list(F.struct("stop", "edges"))).alias("nodes")).withColumn("n", F.size("nodes"))
     kind = "struct<score:double,start:int,id:int>"
 
     def node(state, row):
@@ -56,26 +88,26 @@ def encode_chunks(words: DataFrame, pieces: Pieces) -> DataFrame:
                 e["id"].alias("id"))).otherwise(b))
         return F.concat(state, F.array(best))
 
-    path = lattice.select("chunk", "n", F.aggregate(
+    path = lattice.select("block", "chunk", "n", F.aggregate(
         "nodes", F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")).cast(kind)),
         node).alias("path"))
-    steps = F.aggregate(
-        F.sequence(F.lit(1), F.col("n")),
-        F.struct(F.col("n").alias("at"), F.array().cast("array<struct<at:int,id:int>>").alias("out")),
-        lambda a, _: F.when(a["at"] > 0, F.struct(
-            F.get(F.col("path"), a["at"])["start"].alias("at"),
-            F.concat(F.array(F.struct(a["at"].alias("at"), F.get(F.col("path"), a["at"])["id"].alias("id"))), a["out"]).alias("out"))
-        ).otherwise(a), lambda a: a["out"])
-    steps = path.select("chunk", steps.alias("steps"))
-    if pieces.byte_id:  # an unknown character becomes the pieces of its bytes
-        byte_ids = F.array(*[F.lit(pieces.byte_id[b]) for b in range(256)])
-        data = lambda s: F.hex(F.encode(F.substring(F.col("chunk"), s["at"], F.lit(1)), "utf-8"))
-        unknown = lambda s: F.transform(F.sequence(F.lit(0), (F.length(data(s)) / 2).cast("int") - 1), lambda k: F.get(
-            byte_ids, F.conv(F.substring(data(s), k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-    else:
-        unknown = lambda s: F.array(F.lit(pieces.unknown_id))
-    ids = F.flatten(F.transform("steps", lambda s: F.when(s["id"] >= 0, F.array(s["id"])).otherwise(unknown(s))))
-    return steps.select("chunk", ids.alias("ids"))
+    return path.select("block", "chunk", F.transform("path", lambda x: x["start"]).alias("starts"),
+                       F.transform("path", lambda x: x["id"]).alias("ids"))
+
+
+def follow(chunk: str, starts: list, ids: list, pieces: Pieces) -> list[int]:
+    """The ids of a chunk from its folded lattice: ``starts`` and ``ids`` of the best
+    last piece at every place; an unknown character becomes the pieces of its bytes."""
+    at, out = len(chunk), []
+    while at > 0:
+        if ids[at] >= 0:
+            out.append(ids[at])
+        elif pieces.byte_id:
+            out.extend(pieces.byte_id[b] for b in reversed(chunk[at - 1].encode("utf-8", "surrogatepass")))
+        else:
+            out.append(pieces.unknown_id)
+        at = starts[at]
+    return out[::-1]
 
 
 def decode_ids(rows: DataFrame, pieces: Pieces, key: str) -> DataFrame:
@@ -91,21 +123,39 @@ def decode_ids(rows: DataFrame, pieces: Pieces, key: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids and round_trip (the ids decode to the text again) of
-    every row of ``docs``; a null or empty text has no ids."""
+    """doc_id, n_tokens, ids and round_trip (the ids decode to the text again, a
+    blank mark in it read as a blank) of every row of ``docs``; a null or empty text
+    has no ids.  Sorted grouping is set for the session: the edges arrive in order,
+    and hashed grouping would write them out."""
     pieces = load(model_path)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                       chunk_array(text_or_empty()).alias("chunks"))
-    words = rows.select(F.explode(F.array_distinct("chunks")).alias("chunk")).distinct()
-    coded = stored(encode_chunks(words, pieces), "chunks")
-    back = decode_ids(coded, pieces, "chunk")
-    coded = stored(coded.join(back, "chunk", "left").select(
-        "chunk", "ids", (F.replace("chunk", F.lit(BLANK), F.lit(" ")) == F.col("decoded")).alias("ok")), "coded")
-    # the rows are read a second time for their order; numbers follow the files
-    seen = rows.select("row", "doc_id", F.posexplode_outer("chunks").alias("at", "chunk"))
-    joined = seen.join(coded, "chunk", "left")
-    return (joined.groupBy("row", "doc_id")
-            .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda r: r["ids"])).alias("ids"),
-                 F.coalesce(F.min("ok"), F.lit(True)).alias("round_trip"))
-            .select("doc_id", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_tokens"),
-                    F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), "round_trip"))
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.useObjectHashAggregateExec", "false")
+    pattern = chunk_pattern(pieces)
+    blocks = shuffle_partitions(spark)
+    # id and text are one column, so that both readers below share one shuffle
+    rows = docs.select(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"),
+                                text_or_empty()).alias("row"),
+                       F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"))
+    rows = rows.repartitionById(blocks, "block")
+    words = rows.select("block", F.explode(word_array(F.expr("substring(row, instr(row, ':') + 1)"))).alias("word")).distinct()
+    words = words.select("block", F.explode(F.regexp_extract_all("word", F.lit(pattern), F.lit(0))).alias("chunk")).distinct()
+    coded = encode_chunks(words, pieces).withColumnRenamed("block", "of_block")
+    data = {i: p.encode() for p, i in pieces.id.items()} | {i: bytes([b]) for b, i in pieces.byte_id.items()}
+
+    def assemble(texts: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        cut = re.compile(pattern)
+        known = {c: np.array(follow(c, a.tolist(), i.tolist(), pieces), np.int32)
+                 for c, a, i in zip(chunks["chunk"], chunks["starts"], chunks["ids"])}
+        out = []
+        for row in texts["row"]:
+            doc, text = row.split(":", 1)
+            marked = (" " + text).replace(" ", BLANK) if text else ""
+            parts = [known[c] for c in cut.findall(marked)]
+            ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            back = b"".join([data.get(i, b"") for i in ids.tolist()]).decode(errors="replace")
+            out.append((int(doc) if doc else None, len(ids), ids, back == marked))
+        got = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "round_trip"])
+        got["doc_id"] = got["doc_id"].astype("Int64")
+        return got
+
+    return rows.groupBy("block").cogroup(coded.groupBy("of_block")).applyInPandas(assemble, CODED)
