@@ -3,8 +3,8 @@ documents are exploded into substrings up to the longest piece, equi-joined to t
 piece table, grouped back by chunk, and the lattice is folded by ``aggregate``
 (Viterbi) into ids; the documents of the block then take the ids of their chunks.
 
-Documents are dealt round robin into blocks, one block to a shuffle partition, so a
-word that fills a third of all texts is one row in every block and never a hot key,
+Documents are dealt round robin into blocks, ``BLOCKS`` for every shuffle partition
+set, so a word that fills a third of all texts is one row in every block and never a hot key,
 and the texts are shuffled once: all that follows is grouped by block.  The edges of
 a block are about thirty times its text and are sorted in memory; more shuffle
 partitions make blocks smaller.
@@ -28,6 +28,8 @@ from pairlane.llm.pieces import BLANK, Pieces, load
 #: Latin letters; where no piece joins them to other characters, a chunk is cut
 #: between them and the rest, so that ``word`` and ``word,`` share their edges.
 LETTERS = "A-Za-z\u00c0-\u024f"
+#: Blocks to a shuffle partition: the edges of one are sorted without spilling.
+BLOCKS = 4
 CODED = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 
 
@@ -131,7 +133,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.useObjectHashAggregateExec", "false")
     pattern = chunk_pattern(pieces)
-    blocks = shuffle_partitions(spark)
+    blocks = BLOCKS * shuffle_partitions(spark)
     # id and text are one column, so that both readers below share one shuffle
     rows = docs.select(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"),
                                 text_or_empty()).alias("row"),
