@@ -10,6 +10,7 @@ from pairlane.operators import negatives as N
 from pairlane.operators import triplets as TR
 from pairlane.plans import sqltext as S
 from pairlane.plans.common import pairs, with_pairs
+from pairlane.plans.q_prompts import prompt_sql
 from pairlane.plans.registry import query
 from pairlane.sources import cache_io, fixtures
 from pairlane.sources.fixtures import RESPONSES_SQL
@@ -94,8 +95,7 @@ def _parse_rejects(spark, sf):
 
 
 @query("load_negative_cache", with_pairs(
-    """SELECT cache_key, neg_idx, negative_text, timestamp FROM cache c
-    WHERE timestamp = (SELECT max(timestamp) FROM cache d WHERE d.cache_key = c.cache_key)""", *ALL))
+    "SELECT cache_key, neg_idx, negative_text, timestamp FROM cache", *ALL))
 def _load_negative_cache(spark, sf):
     path = cache_io.work_path(spark, "negcache")
     cache_io.append_negative_cache(cache_records(spark, sf), path)
@@ -107,7 +107,7 @@ def _load_negative_cache(spark, sf):
         F.when(F.col("kind") == 5, F.col("response"))
         .otherwise(F.to_json(F.struct(F.col("pair_id"), F.lit("x").alias("negative_text")))).alias("value"))
     cache_io.append_raw_lines(bad, path)
-    c = N.latest_cache(cache_io.load_negative_cache(spark, path))
+    c = cache_io.load_negative_cache(spark, path)
     return c.select("cache_key", "neg_idx", "negative_text", "timestamp")
 
 
@@ -154,12 +154,8 @@ def _cache_misses(spark, sf):
     return N.cache_misses(prods, cache_records(spark, sf))
 
 
-def _prompts_sql():
-    from pairlane.operators import prompts as P
-    return f"prompts AS (SELECT pair_id, {P.prompt_sql('product_text', NEG_TYPE, STRATEGY, N_PER, 'parts')} AS prompt FROM prods)"
-
-
-_PROMPTS_SQL = _prompts_sql()
+_PROMPTS_SQL = (f"prompts AS (SELECT pair_id, {prompt_sql('product_text', repr(NEG_TYPE), repr(STRATEGY))} "
+                "AS prompt FROM prods)")
 
 
 @query("prompt_dry_run", with_pairs("""
