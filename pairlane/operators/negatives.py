@@ -48,22 +48,31 @@ def parse_responses(responses: DataFrame, text_col: str = "response",
     blank are kept.  rejected: answers that are not JSON, not an object, lack
     a non-empty ``hard_negatives`` list, or keep no item; with a reason."""
     keep = keep or [c for c in responses.columns if c != text_col]
+    v = parsed_items(responses, text_col, keep)
+    return explode_items(v, keep), v.filter(F.size("_items") == 0).select(*keep, "error")
+
+
+def parsed_items(responses: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """One row per answer: the kept items (position, text) and, where there are
+    none, the reason.  Stateless, so a stream may use it."""
     v = responses.select(*keep, F.try_parse_json(unfence(F.col(text_col))).alias("_v"))
     arr = F.try_variant_get(F.col("_v"), "$.hard_negatives", "array<variant>")
-    v = v.withColumn("_kind", F.schema_of_variant("_v")).withColumn("_arr", arr)
-    items = (v.filter(F.col("_kind").startswith("OBJECT") & (F.size("_arr") > 0))
-             .select(*keep, F.posexplode("_arr").alias("item_idx", "_item")))
-    items = items.filter(F.schema_of_variant("_item") == "STRING").select(
-        *keep, "item_idx", py_strip(F.variant_get("_item", "$", "string")).alias("negative_text"))
-    good = items.filter(F.col("negative_text") != "")
+    is_object = F.schema_of_variant("_v").startswith("OBJECT")
+    v = v.select(*keep, "_v", is_object.alias("_object"), F.when(is_object, arr).alias("_arr"))
+    texts = F.transform("_arr", lambda x, i: F.struct(
+        i.alias("item_idx"), F.when(F.schema_of_variant(x) == "STRING", py_strip(F.try_variant_get(x, "$", "string")))
+        .alias("negative_text")))
+    items = F.coalesce(F.filter(texts, lambda x: x["negative_text"] != ""),
+                       F.array().cast("array<struct<item_idx:int,negative_text:string>>"))
     reason = (F.when(F.col("_v").isNull(), "invalid json")
-              .when(~F.col("_kind").startswith("OBJECT"), "not an object")
+              .when(~F.col("_object"), "not an object")
               .when(F.col("_arr").isNull() | (F.size("_arr") == 0), "hard_negatives empty or missing")
               .otherwise("all entries blank"))
-    ok_rows = good.select(*keep).distinct()
-    rejected = (v.join(ok_rows, keep, "left_anti") if keep else v)
-    rejected = rejected.select(*keep, reason.alias("error"))
-    return good, rejected
+    return v.select(*keep, items.alias("_items"), reason.alias("error"))
+
+
+def explode_items(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    return parsed.select(*keep, F.inline("_items"))
 
 
 def products(pairs: DataFrame, n_per_product: int = 5) -> DataFrame:
@@ -73,14 +82,6 @@ def products(pairs: DataFrame, n_per_product: int = 5) -> DataFrame:
     return m.withColumn("cache_key", negative_cache_key("product_text", n_per_product))
 
 
-def latest_cache(cache: DataFrame) -> DataFrame:
-    """Newest run per key wins (a forced re-run appends; older answers are
-    ignored).  Aggregate + join, so a hot key is never one task's group."""
-    newest = cache.groupBy("cache_key").agg(F.max("timestamp").alias("_ts"))
-    return (cache.join(newest, "cache_key")
-            .filter(F.col("timestamp") == F.col("_ts")).drop("_ts"))
-
-
 def cache_hits(prods: DataFrame, cache: DataFrame, neg_type: str, strategy: str,
                model_id: str) -> DataFrame:
     """Products with a cached answer, one row per cached negative; the

@@ -26,6 +26,13 @@ def test_adapter_loss_falls(spark):
     assert np.allclose(W1, W2)
 
 
+def test_stream_result_does_not_depend_on_batches(spark):
+    from pairlane.plans.q_streaming import _stream_responses
+    from conftest import SF0001
+    one, all_ = (sorted(map(tuple, _stream_responses(spark, SF0001, n).collect())) for n in (1, 100))
+    assert one == all_ and len(one) == len(set(one)) > 0
+
+
 def test_stream_replay_is_idempotent(spark):
     from pairlane.plans.registry import all_queries
     from conftest import SF0001
