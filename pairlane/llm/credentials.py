@@ -75,8 +75,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def linked(rows: DataFrame) -> DataFrame:
     """(pl_row, pl_linked): the weak spans of each row that have their
-    complements in scope.  Only rows with weak candidates take part, and a
-    span meets spans of its own row in the same or a neighbouring bin."""
+    complements in scope.  Only rows with weak candidates take part.  A weak
+    span lies in every bin that it covers, another span in every bin that it
+    covers widened by the scope; two in scope share a bin, and meet in the first."""
     part = F.element_at(F.create_map(*[x for k, i in ORDER.items() for x in (
         F.lit(i), F.lit(PART_OF_BASE.get(k) or next(p for w, p, _ in WEAK if w == k)))]), F.col("s.kind"))
     spans = (rows.where(F.size("pl_weak") > 0)
@@ -84,9 +85,13 @@ def linked(rows: DataFrame) -> DataFrame:
              .select("pl_row", "s.start", "s.stop", "s.kind", part.alias("part")))
     near = spans.select(
         F.col("pl_row").alias("r"), F.col("part").alias("p"), F.col("start").alias("b"), F.col("stop").alias("e"),
-        F.explode(F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("stop") + SCOPE) / SCOPE))).alias("bin"))
-    weak = spans.where(F.col("kind") >= len(BASE)).withColumn("own_bin", F.floor(F.col("start") / SCOPE))
+        F.floor((F.col("start") - SCOPE) / SCOPE).alias("first"), F.floor((F.col("stop") + SCOPE) / SCOPE).alias("last"))
+    near = near.withColumn("bin", F.explode(F.sequence("first", "last")))
+    weak = (spans.where(F.col("kind") >= len(BASE))
+            .withColumn("own_first", F.floor(F.col("start") / SCOPE))
+            .withColumn("own_bin", F.explode(F.sequence("own_first", F.floor(F.col("stop") / SCOPE)))))
     meets = weak.join(near, (F.col("pl_row") == F.col("r")) & (F.col("own_bin") == F.col("bin"))
+                      & (F.col("bin") == F.greatest("first", "own_first"))
                       & (F.col("part") != F.col("p")) & (F.col("b") <= F.col("stop") + SCOPE)
                       & (F.col("start") <= F.col("e") + SCOPE)
                       # parts that overlap are readings of one string, no complement

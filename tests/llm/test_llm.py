@@ -106,6 +106,45 @@ def test_secret_links_need_complements(spark):
     assert [x.split(":")[0] for x in got[2].split(",")] == ["weak_id", "weak_secret", "endpoint"]
 
 
+def linked_by_pairs(text):
+    """Weak spans with their complements, every pair of spans compared."""
+    spans = [(m.start(), k, m.end(), credentials.PART_OF_BASE[name]) for k, (name, pattern, group, least)
+             in enumerate(credentials.BASE) for m in re.finditer(pattern, text, re.A) if len(m.group(group)) >= least]
+    spans += [(m.start(), credentials.ORDER[name], m.end(), part) for name, part, pattern in credentials.WEAK
+              for m in re.finditer(pattern, text, re.A)]
+    out = []
+    for a, k, z, part in spans:
+        near = {p for b, _, e, p in spans if p != part and (e <= a or z <= b)
+                and b <= z + credentials.SCOPE and a <= e + credentials.SCOPE}
+        whole = {"id": "secret" in near, "secret": bool(near & {"id", "endpoint"}), "endpoint": near >= {"id", "secret"}}
+        if k >= len(credentials.BASE) and whole[part]:
+            out.append((a, k, z))
+    return sorted(out)
+
+
+def test_secret_links_of_long_spans(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for length in (50, 100, 300, 700, 2000):
+        for at in range(0, 620, 31):
+            gap, other = (int(x) for x in rng.integers(1, 330, 2))
+            url, secret, ident = "https://x.example/" + "-" * (length - 18), "aB3" * 14, "ASIAABCDEFGHIJKLMNOP"
+            parts = [[url, secret], [secret, url], [ident, url, secret], [url, ident, secret],
+                     [secret[:1] * length, ident]][len(rows) % 5]
+            text = "." * at + parts[0] + " " * gap + parts[1] + "".join(" " * other + x for x in parts[2:])
+            rows.append((len(rows), text))
+    rows.append((len(rows), "." * 299 + "https://x.example/" + "-" * 82 + " " * 291 + "aB3" * 14))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in credentials.report(df).collect()}
+    names = credentials.KINDS
+    for i, text in rows:
+        base = [(a, k, z) for a, k, z, _ in spans_of(text)]
+        want = sorted(base + linked_by_pairs(text))
+        assert got[i] == ",".join(f"{names[k]}:{a}:{z}" for a, k, z in want), (i, got[i])
+    assert got[len(rows) - 1].startswith("weak_secret:690")
+    assert 40 < sum(bool(linked_by_pairs(t)) for _, t in rows) < len(rows)
+
+
 def test_redact(docs):
     out = {r.pl_row: r for r in credentials.redact(docs).collect()}
     assert credentials.redact(docs).columns == docs.columns
