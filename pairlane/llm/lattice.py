@@ -1,16 +1,22 @@
-"""SentencePiece encoding and decoding as joins: the distinct chunks of a block of
-documents are exploded into substrings up to the longest piece, equi-joined to the
-piece table, grouped back by chunk, and the lattice is folded by ``aggregate``
-(Viterbi) into ids; the documents of the block then take the ids of their chunks.
+"""SentencePiece encoding and decoding.
 
-Documents are dealt round robin into blocks, ``BLOCKS`` for every shuffle partition
+A unigram model is encoded by joins: the distinct chunks of a block of documents
+are exploded into substrings up to the longest piece, equi-joined to the piece table,
+grouped back by chunk, and the lattice is folded by ``aggregate`` (Viterbi) into ids;
+the documents of the block then take the ids of their chunks.
+
+A BPE model has no lattice: its pieces come from merges in the order of their ranks.
+``encode_merges`` does them for each distinct chunk, where the texts are, without
+any shuffle.
+
+For the joins, documents are dealt round robin into blocks, ``BLOCKS`` for every shuffle partition
 set, so a word that fills a third of all texts is one row in every block and never a hot key,
 and the texts are shuffled once: all that follows is grouped by block.  The edges of
 a block are about thirty times its text and are sorted in memory; more shuffle
 partitions make blocks smaller.
 
 The piece table has as many rows as the model file has pieces, so its broadcast
-is bounded by the file.  Tie rule: see ``pieces``.
+is bounded by the file.  Rules of both models: see ``pieces``.
 """
 
 from __future__ import annotations
@@ -22,14 +28,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlane.llm.common import shuffle_partitions, text_or_empty
-from pairlane.llm.pieces import BLANK, Pieces, load
+from pairlane.llm.common import Recent, shuffle_partitions, small_batches, text_or_empty
+from pairlane.llm.pieces import BLANK, Pieces, chunks, load, merged
 
 #: Latin letters; where no piece joins them to other characters, a chunk is cut
 #: between them and the rest, so that ``word`` and ``word,`` share their edges.
 LETTERS = "A-Za-z\u00c0-\u024f"
 #: Blocks to a shuffle partition: the edges of one are sorted without spilling.
 BLOCKS = 4
+#: Chunks kept by a Python worker, and the longest that is kept.
+MAX_CACHED, MAX_CHUNK = 300_000, 200
 CODED = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 
 
@@ -124,12 +132,69 @@ def decode_ids(rows: DataFrame, pieces: Pieces, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.replace(F.decode(F.unhex(joined), "utf-8"), F.lit(BLANK), F.lit(" ")).alias("decoded"))
 
 
+def coded_row(doc, ids: np.ndarray, text: str, data: dict) -> tuple:
+    marked = (" " + text).replace(" ", BLANK) if text else ""
+    back = b"".join([data.get(i, b"") for i in ids.tolist()]).decode(errors="replace")
+    return doc, len(ids), ids, back == marked
+
+
+class Merger:
+    """Ids of texts by the merges of a BPE model."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.known = pieces, Recent(MAX_CACHED)
+        self.data = {i: p.encode() for p, i in pieces.id.items()} | {i: bytes([b]) for b, i in pieces.byte_id.items()}
+
+    def chunk(self, chunk: str) -> bytes:
+        p, ids = self.pieces, []
+        for piece in merged(chunk, p.score):
+            if piece in p.id:
+                ids.append(p.id[piece])
+            elif p.byte_id:
+                ids.extend(p.byte_id[b] for b in piece.encode("utf-8", "surrogatepass"))
+            else:
+                ids.append(p.unknown_id)
+        return np.array(ids, np.int32).tobytes()
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        known, extra = self.known.turn(), {}
+        cut = [chunks(t) for t in texts]
+        for c in self.known.unknown(set().union(*cut)):
+            (known if len(c) <= MAX_CHUNK else extra)[c] = self.chunk(c)
+        return [np.frombuffer(b"".join([known[w] if w in known else extra[w] for w in c]), np.int32) for c in cut]
+
+
+_MERGERS: dict = {}
+
+
+def encode_merges(docs: DataFrame, model_path: str) -> DataFrame:
+    """``encode_documents`` for a BPE model."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        if model_path not in _MERGERS:
+            _MERGERS[model_path] = Merger(load(model_path))
+        merger = _MERGERS[model_path]
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            out = pd.DataFrame([coded_row(doc, ids, t, merger.data) for doc, ids, t
+                                in zip(pdf["doc_id"].astype("Int64"), merger.ids(texts), texts)],
+                               columns=["doc_id", "n_tokens", "ids", "round_trip"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+            .mapInPandas(run, CODED))
+
+
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (the ids decode to the text again, a
     blank mark in it read as a blank) of every row of ``docs``; a null or empty text
-    has no ids.  Sorted grouping is set for the session: the edges arrive in order,
+    has no ids.  For a unigram model sorted grouping is set for the session: the edges arrive in order,
     and hashed grouping would write them out."""
     pieces = load(model_path)
+    if pieces.bpe:
+        return encode_merges(docs, model_path)
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.useObjectHashAggregateExec", "false")
     pattern = chunk_pattern(pieces)
@@ -151,11 +216,9 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
         out = []
         for row in texts["row"]:
             doc, text = row.split(":", 1)
-            marked = (" " + text).replace(" ", BLANK) if text else ""
-            parts = [known[c] for c in cut.findall(marked)]
+            parts = [known[c] for c in cut.findall((" " + text).replace(" ", BLANK))] if text else []
             ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            back = b"".join([data.get(i, b"") for i in ids.tolist()]).decode(errors="replace")
-            out.append((int(doc) if doc else None, len(ids), ids, back == marked))
+            out.append(coded_row(int(doc) if doc else None, ids, text, data))
         got = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "round_trip"])
         got["doc_id"] = got["doc_id"].astype("Int64")
         return got

@@ -1,6 +1,8 @@
-"""Token counts without tokens: Aho-Corasick enumerates the vocabulary matches of
-a chunk by their ends, and dynamic programming carries the best score and its
-piece count, nothing else, under the tokenizer's tie rule (see ``pieces``)."""
+"""Token counts without tokens.  For a unigram model, Aho-Corasick enumerates the
+vocabulary matches of a chunk by their ends, and dynamic programming carries the
+best score and its piece count, nothing else, under the tokenizer's tie rule.  For
+a BPE model the merges of a chunk are done and counted (see ``pieces`` for both).
+Every distinct chunk is counted once while it is in the cache."""
 
 from __future__ import annotations
 
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlane.llm.common import Recent, small_batches, text_or_empty
-from pairlane.llm.pieces import Pieces, chunks, load
+from pairlane.llm.pieces import Pieces, chunks, load, merged
 
 MAX_CACHED, MAX_CHUNK = 600_000, 200
 
@@ -63,17 +65,33 @@ class Counter:
         return out
 
 
+class MergeCounter(Counter):
+    """The same for a BPE model; the score is the sum over the pieces chosen."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.known = pieces, Recent(MAX_CACHED)
+
+    def count(self, chunk: str) -> tuple[int, float]:
+        p, n, score = self.pieces, 0, 0.0
+        for piece in merged(chunk, p.score):
+            s = p.score.get(piece)
+            n += 1 if s is not None or not p.byte_id else len(piece.encode("utf-8", "surrogatepass"))
+            score += p.unknown_score if s is None else s
+        return n, score
+
+
 _COUNTERS: dict = {}
 
 
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens and score (of the best path; 0 for an empty or null text)
+    """doc_id, n_tokens and score (sum over its pieces; 0 for an empty or null text)
     of every row of ``docs``."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         if model_path not in _COUNTERS:
-            _COUNTERS[model_path] = Counter(load(model_path))
+            pieces = load(model_path)
+            _COUNTERS[model_path] = MergeCounter(pieces) if pieces.bpe else Counter(pieces)
         for pdf in batches:
             got = _COUNTERS[model_path].counts(pdf["text"].tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": [g[0] for g in got],

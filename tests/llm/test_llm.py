@@ -308,6 +308,36 @@ def test_count_and_lattice_agree_with_library_paths(spark, docs):
         assert score == sum(table.score[p] for p in best) and n == len(best)
 
 
+def test_pieces_equal_library_encode(spark):
+    import random
+    import sentencepiece as spm
+    model, rng = f"{TOK}/piece_bpe_32k.model", random.Random(6)
+    signs = "aethinsor  .,▁\n\t1é\u0300İ😀中<>\x00\x85"
+    rows = [(i, t or "") for i, t, _ in EDGE if i] + [
+        (100 + k, t) for k, t in enumerate(["the", "therefore", "theaores", "a  b", "x▁ 中", "▁ a▁b", " " * 70, "<s></s><0x41>",
+                                            "thereforetherefore" * 30, "ab" * 3000])]
+    rows += [(1000 + k, "".join(rng.choice(signs) for _ in range(rng.choice((3, 12, 90, 400))))) for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(
+        spark.read.parquet(f"{SF0001}/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    lib = spm.SentencePieceProcessor(model_file=model)
+    want = Counter((r.doc_id, tuple(lib.encode(r.text or ""))) for r in df.collect())
+    coded = lattice.encode_documents(df, model).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in coded) == want
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in coded)
+    counted = token_counts.count_tokens(df, model).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in counted) == Counter((i, len(t)) for i, t in want.elements())
+
+
+def test_unigram_models_keep_the_lattice(spark, docs, tmp_path):
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_library().serialized_model_proto())
+    assert not pieces.load(str(path)).bpe and pieces.load(f"{TOK}/piece_bpe_32k.model").bpe
+    coded = lattice.encode_documents(docs, str(path)).collect()
+    counted = token_counts.count_tokens(docs, str(path)).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in coded) == Counter((r.doc_id, r.n_tokens) for r in counted)
+    assert all(r.round_trip for r in coded)
+
+
 def test_toxicity_held_out(spark):
     r = toxicity.toxicity(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "/root/testdata/sf0.01")
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
