@@ -185,7 +185,8 @@ def components(edges: DataFrame) -> DataFrame:
 # -- the join -----------------------------------------------------------------
 
 def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, sig, n_shingles, matches and prefix of every document."""
+    """doc_id, sig, n_shingles, matches and prefix of every document; ``pl_key``,
+    where it is a column, goes along."""
     spark = docs.sparkSession
     small_batches(spark)
     heat = spark.sparkContext.broadcast(heat_table(docs, n))
@@ -198,10 +199,14 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 rows.append((doc, signature(s), len(s), need, head.view(np.int64)))
             out = pd.DataFrame(rows, columns=["doc_id", "sig", "n_shingles", "matches", "prefix"])
             out["doc_id"] = out["doc_id"].astype("Int64")
+            for c in more:
+                out[c] = pdf[c].to_numpy()
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, sig binary, n_shingles long, matches int, prefix array<long>")
+    more = [c for c in docs.columns if c == "pl_key"]
+    return docs.select("doc_id", "text", *more).mapInPandas(
+        run, "doc_id long, sig binary, n_shingles long, matches int, prefix array<long>"
+             + "".join(f", {c} binary" for c in more))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -277,16 +282,22 @@ def links(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
     return checked.unionByName(tiled)
 
 
+def _groups(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``prefixes`` of ``docs``, written, and (sig, first, comp) of every class with
+    words: its smallest doc_id and its group."""
+    found = stored(prefixes(docs, n, percent), "prefixes")
+    comp = components(links(docs, found, n, percent))
+    own = found.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("first"))
+    return found, own.join(comp, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+
+
 def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (``doc_id``,
     ``text``): the smallest doc_id reachable by links.  Texts without words link
     with nothing; a group without any doc_id has none; repeated rows are copies."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(prefixes(docs, n, percent), "prefixes")
-    comp = components(links(docs, found, n, percent))
+    found, placed = _groups(docs, n, percent)
     rows = found.select("doc_id", "sig", "n_shingles")
-    own = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    placed = own.join(comp, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     heads = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_sig = placed.join(heads, "comp").select("sig", "component_id")
     return (rows.join(by_sig, "sig", "left")
@@ -295,14 +306,24 @@ def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, with all its
-    columns.  Rows of one id count as one document; rows without an id cannot be
-    told apart and stay."""
-    heads = (near_duplicates(docs, n, percent).where("doc_id = component_id")
-             .select(F.col("doc_id").alias("pl_id")).distinct())
+    """One row of each group: one of the smallest doc_id in it, with all its columns.
+    Rows of one id whose texts do not link are in different groups, and each group
+    keeps its own; of the rows of one id without words one stays.  Rows without
+    an id cannot be told apart and stay."""
+    key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found, placed = _groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                                        F.col("text").cast("string").alias("text"), key.alias("pl_key")), n, percent)
+    rows = found.where("doc_id IS NOT NULL").select("doc_id", "sig", "n_shingles", "pl_key")
+    # a class has one row here, so that a copied text is no hot key of the join
+    least = F.min(F.struct("doc_id", "pl_key")).alias("head")
+    worded = (rows.where("n_shingles > 0").groupBy("sig").agg(least)
+              .join(placed.select("sig", "comp"), "sig").groupBy("comp").agg(F.min("head").alias("head")))
+    bare = rows.where("n_shingles = 0").groupBy("doc_id").agg(least)
+    heads = (worded.select("head").unionByName(bare.select("head"))
+             .select(F.col("head.doc_id").alias("pl_id"), F.col("head.pl_key").alias("pl_key")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("pl_row"),
-                         F.col("doc_id").cast("long").alias("pl_id"))
-    first = W.partitionBy("pl_id").orderBy(F.xxhash64("pl_row"))
-    kept = (packed.where("pl_id IS NOT NULL").join(heads, "pl_id", "left_semi")
+                         F.col("doc_id").cast("long").alias("pl_id"), key.alias("pl_key"))
+    first = W.partitionBy("pl_id", "pl_key").orderBy(F.xxhash64("pl_row"))
+    kept = (packed.where("pl_id IS NOT NULL").join(heads, ["pl_id", "pl_key"], "left_semi")
             .withColumn("pl_n", F.row_number().over(first)).where("pl_n = 1"))
     return kept.select("pl_row.*").unionByName(packed.where("pl_id IS NULL").select("pl_row.*"))

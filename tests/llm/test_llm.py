@@ -275,6 +275,18 @@ def test_ngram_keep_first(docs):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 6, 7, 8, None])
 
 
+def test_ngram_keep_first_by_group(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, c), (3, c + " end"), (4, ""), (4, " "), (5, None), (2, c + " end"), (None, a)]
+    rows += [(7, f"{x} " * 3 + " ".join(f"{x}{k}" for k in range(20))) for x in "defgh"]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = ngram_join.keep_first(df)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, (r.text or "").split(" ")[0]) for r in kept.collect())
+    want = [(1, "a0"), (2, "b0"), (2, "c0"), (4, ""), (5, ""), (None, "a0")] + [(7, x) for x in "defgh"]
+    assert got == Counter(want)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality.judge(none).count() == credentials.report(none).count() == 0
