@@ -39,8 +39,8 @@ HEAT_BITS, HEAT_PARTS = 21, 64
 MAX_MATCHES, SHIP_COST, VERIFY_COST, COLD = 8, 1.0, 200.0, 0.2
 #: Prefix shingles of more classes than this are joined in tiles.
 HOT = 32
-#: Shingles (of all members) in one side of a tile.
-TILE_SHINGLES = 1 << 17
+#: Shingles (of all members) and members in one side of a tile: its columns and rows.
+TILE_SHINGLES, TILE_ROWS = 1 << 17, 2048
 #: Bits of the filter that picks the texts whose sets verification needs.
 FILTER_BITS = 22
 
@@ -124,10 +124,12 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
         bits = np.zeros((len(both), width), np.float32)
         bits[owner[a:z], code[a:z] - at] = 1
         inter += bits[:m] @ (bits[m:] if right is not None else bits).T
-    inter = inter.astype(np.int64)
     nl = np.array([len(s) for s in left])
     nr = nl if right is None else np.array([len(s) for s in right])
-    return 100 * inter >= percent * (nl[:, None] + nr[None, :] - inter)
+    out = np.empty(inter.shape, bool)
+    for k in range(m):  # a row at a time: no wide copies of the matrix
+        out[k] = inter[k] >= -(-percent * (nl[k] + nr) // (100 + percent))
+    return out
 
 
 def _stars(names: list[bytes], a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
@@ -239,6 +241,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return got.join(wanted.distinct(), "sig", "left_semi").dropDuplicates(["sig"])
 
 
+def in_blocks(hot: DataFrame) -> DataFrame:
+    """``hot`` (token, sig, n_shingles) with ``block``, the members of a token in
+    order of size.  A member counts as its shingles, or as its part of the rows
+    of a tile where that is more, so a block is bounded in both."""
+    share = F.greatest(F.col("n_shingles").cast("long"), F.lit(-(-TILE_SHINGLES // TILE_ROWS)))
+    before = F.sum(share).over(W.partitionBy("token").orderBy("n_shingles", "sig")
+                               .rowsBetween(W.unboundedPreceding, -1))
+    return hot.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / TILE_SHINGLES).cast("int"))
+
+
 def links(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
     """(x, y) pairs of classes whose closure is the closure of all links."""
     classes = found.where("n_shingles > 0").dropDuplicates(["sig"])
@@ -255,9 +267,7 @@ def links(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
     pairs = stored(pairs.where("shared >= need").select("x", "y"), "pairs")
 
     hot = entry.where(F.col("classes") > HOT).select("token", "sig", "n_shingles")
-    before = F.sum("n_shingles").over(W.partitionBy("token").orderBy("n_shingles", "sig")
-                                      .rowsBetween(W.unboundedPreceding, -1))
-    hot = stored(hot.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / TILE_SHINGLES).cast("int")), "hot")
+    hot = stored(in_blocks(hot), "hot")
     ranges = hot.groupBy("token", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     p, q = ranges.alias("p"), ranges.alias("q")
     tiles = (p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.block") <= F.col("q.block"))

@@ -275,6 +275,22 @@ def test_ngram_keep_first(docs):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 6, 7, 8, None])
 
 
+def test_ngram_tiles_of_short_texts_are_bounded(spark):
+    import tracemalloc
+    cut = spark.range(7000).select(F.lit(1).alias("token"), F.col("id").cast("string").cast("binary").alias("sig"),
+                                   F.lit(8).cast("long").alias("n_shingles"))
+    got = {r.block: r.n for r in ngram_join.in_blocks(cut).groupBy("block").agg(F.count("*").alias("n")).collect()}
+    assert sum(got.values()) == 7000 and max(got.values()) <= 2048
+    sets = [np.array([1, 2, 3, 4, 5, 6, 7, 100 + k // 2], np.uint64) for k in range(1500)]
+    tracemalloc.start()
+    links = ngram_join.tile_links(sets, sets[:1200], 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links == (np.arange(1500)[:, None] // 2 == np.arange(1200) // 2)).all()
+    assert ngram_join.tile_links(sets, None, 77).all() and not ngram_join.tile_links(sets, None, 78)[0, 2:].any()
+    assert peak < 15 * links.size + 4 * 4096 * 2700  # the product and its sum, and the one-hot columns
+
+
 def test_ngram_keep_first_by_group(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = [(1, a), (2, a), (2, b), (2, b), (2, c), (3, c + " end"), (4, ""), (4, " "), (5, None), (2, c + " end"), (None, a)]
