@@ -389,5 +389,78 @@ def test_pipeline_runs(spark):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def passes_rules(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    win = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    times = Counter(win)
+    repeated = {j for i, x in enumerate(win) if times[x] > 1 for j in range(i, i + 5)}
+    if len(w) < 10 or 100 * len(repeated) > 20 * len(w):
+        return False
+    n, m = len(w), len(lines)
+    return (2 <= sum(map(len, w)) / n <= 25 and len(re.findall(r"[#*$%&|<>]", text)) / n <= 0.25
+            and len(re.findall(r"[!?]", text)) / n <= 0.3
+            and (n < 60 or sum(x.lower() in quality.STOP_WORDS for x in w) / n >= 0.005)
+            and (m - len(set(lines))) / m <= 0.5
+            and sum(bool(re.search(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$", x)) for x in lines) / m <= 0.5
+            and sum(bool(re.search(r"^[\x20\x09]*[-*\u2022]\x20", x)) for x in lines) / m <= 0.9)
+
+
+def toxic_score(model, text):
+    weights, got = np.frombuffer(model, "<f4"), []
+    for core in map(toxicity.core_of, toxicity.words_of(text)):
+        if core:
+            got.append(float(np.mean(weights[1:][toxicity.gram_table([core])[1]])))
+    top = max(got, default=0)
+    share = [np.exp(toxicity.SHARPNESS * (x - top)) for x in got]
+    logit = float(weights[0]) + (sum(x * y for x, y in zip(share, got)) / sum(share) if got else 0)
+    return 1 / (1 + np.exp(-logit))
+
+
+def redacted(text):
+    out, at = [], 0
+    for a, _, z in sorted([(a, k, z) for a, k, z, _ in spans_of(text)] + linked_by_pairs(text)):
+        if a >= at:
+            out.append(text[at:a])
+        at = max(at, z)
+    return "[secret]".join(out + [text[at:]])
+
+
+def test_pipeline_stages_equal_plain_python(spark, tmp_path):
+    import corpus_pipeline as p
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SF0001}/labels.parquet").where("toxic = 1").collect()}
+    some = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in toxic or r.doc_id % 4 == 0]
+    good = sorted((t for i, t in some if i not in toxic and passes_rules(t or "")), key=len)[-6:]
+    some += [(11_000 + k, t + " end") for k, t in enumerate(good)] + [(12_000 + k, t) for k, t in enumerate(good)]
+    some += [(10_003, None), (10_004, "too short"), (10_007, "of these five words here " * 20), (10_008, "a line of it ...\n" * 9),
+             (10_009, good[0][:300] + " password=hunter2hunter2 for it"),
+             (10_010, good[1][:300] + " https://x.example/" + "-" * 400 + " " * 280 + "aB3" * 14)]
+    labels = spark.read.parquet(f"{SF0001}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.createDataFrame([(i, t, len(t or "")) for i, t in some], "doc_id long, text string, n_chars long").cache()
+    model = toxicity.fit(now, labels)
+
+    def first_of_group(rows):
+        return [(i, t) for (i, t), (_, _, head) in zip(rows, components_of(rows, 5, 80)) if i == head]
+
+    plain = {"toxicity": lambda rows: [(i, t) for i, t in rows if toxic_score(model, t) < 0.5],
+             "quality_rules": lambda rows: [(i, t) for i, t in rows if passes_rules(t)],
+             "ngram_jaccard_join": first_of_group,
+             "secret_scans": lambda rows: [(i, redacted(t)) for i, t in rows]}
+    for name, stage in p.STAGES[:-1]:
+        want = plain[name]([(r.doc_id, r.text or "") for r in now.collect()])
+        before, now = now, stage(spark, now, str(tmp_path)).cache()
+        assert now.columns == before.columns
+        got = sorted((r.doc_id, r.text or "") for r in now.collect())
+        assert got == sorted(want), name
+        assert got != sorted((r.doc_id, r.text or "") for r in before.collect()), name
+    t = Tokenizer.from_file(p.TOKENIZER)
+    t.encode_special_tokens = True
+    packed = p.pack(spark, now, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == {
+        r.doc_id: len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in now.collect()}
+
+
 def test_queries_registered():
     assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
