@@ -61,10 +61,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairlane.llm.divergence import audit
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairlane.llm.runs import report
+    return report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_perspectives, op3_token_counts, op4_sentencepiece,
                                    op5_packing, op6_topk, op7_token_file, op8_secrets,
-                                   op9_ngram_join, op10_toxicity)}
+                                   op9_ngram_join, op10_toxicity, op12_divergence, op13_runs)}
 
+from pairlane.llm.divergence import AUDIT_SQL  # noqa: E402
 from pairlane.llm.perspectives import ROTATE_SQL  # noqa: E402
 
-SQL: dict[str, str] = {"op2_perspectives": ROTATE_SQL}
+SQL: dict[str, str] = {"op2_perspectives": ROTATE_SQL, "op12_divergence": AUDIT_SQL}
