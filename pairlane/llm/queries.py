@@ -61,6 +61,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairlane.llm.flat_graph import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairlane.llm.divergence import audit
     return audit(table(spark, sf_dir, "documents"))
@@ -73,7 +78,8 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_perspectives, op3_token_counts, op4_sentencepiece,
                                    op5_packing, op6_topk, op7_token_file, op8_secrets,
-                                   op9_ngram_join, op10_toxicity, op12_divergence, op13_runs)}
+                                   op9_ngram_join, op10_toxicity, op11_near_vectors,
+                                   op12_divergence, op13_runs)}
 
 from pairlane.llm.divergence import AUDIT_SQL  # noqa: E402
 from pairlane.llm.perspectives import ROTATE_SQL  # noqa: E402

@@ -463,4 +463,4 @@ def test_pipeline_stages_equal_plain_python(spark, tmp_path):
 
 
 def test_queries_registered():
-    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
