@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from pairlane.functions.text import char_wb_ngrams, word_ngrams, word_tokens
-from pairlane.operators.ranking import SCORE_DIGITS, positive_rank, retrieval_metrics, topk
+from pairlane.operators.ranking import SCORE_DIGITS
 from pairlane.plans.indexing import dense_index
+from pairlane.plans.maxscore import bounded_topk
 from pairlane.session import reuse
 
 
@@ -74,7 +75,12 @@ class TfidfModel:
     params: TfidfParams
 
 
-def _weights(tf: DataFrame, vocab: DataFrame, id_col: str, p: TfidfParams, bounded: bool) -> DataFrame:
+#: A vocabulary is broadcast up to this cap (some tens of MB), beyond it joined.
+BROADCAST_TERMS = 200_000
+
+
+def _weights(tf: DataFrame, vocab: DataFrame, id_col: str, p: TfidfParams) -> DataFrame:
+    bounded = p.max_features is not None and p.max_features <= BROADCAST_TERMS
     v = F.broadcast(vocab) if bounded else vocab
     t = tf.join(v.select("term", "term_id", "idf"), "term")
     tfw = (1 + F.log(F.col("tf"))) if p.sublinear_tf else F.col("tf").cast("double")
@@ -94,7 +100,7 @@ def tfidf_fit(corpus: DataFrame, p: TfidfParams = TfidfParams(), n_docs: int | N
     vocab = vocab.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
     if checkpoint:
         vocab = reuse(vocab)
-    docs = _weights(tf, vocab, "corpus_idx", p, p.max_features is not None)
+    docs = _weights(tf, vocab, "corpus_idx", p)
     if checkpoint:
         docs = reuse(docs)
     return TfidfModel(vocab, docs, n, p)
@@ -103,7 +109,7 @@ def tfidf_fit(corpus: DataFrame, p: TfidfParams = TfidfParams(), n_docs: int | N
 def tfidf_vectors(model: TfidfModel, docs: DataFrame, id_col: str) -> DataFrame:
     """Vectors for new texts; out-of-vocabulary terms are dropped."""
     tf = term_counts(docs, id_col, model.params)
-    return _weights(tf, model.vocab, id_col, model.params, model.params.max_features is not None)
+    return _weights(tf, model.vocab, id_col, model.params)
 
 
 def sparse_scores(qv: DataFrame, dv: DataFrame) -> DataFrame:
@@ -115,86 +121,13 @@ def sparse_scores(qv: DataFrame, dv: DataFrame) -> DataFrame:
             .agg(F.round(F.sum(F.col("wq") * F.col("wd")), SCORE_DIGITS).alias("score")))
 
 
-def estimated_pairs(qv: DataFrame, dv: DataFrame, vocab: DataFrame | None = None) -> int:
-    """Rows the term join would produce: sum over terms of qdf * ddf.  With
-    the fitted vocabulary its document frequencies are used directly (no
-    pass over the document vectors)."""
-    qd = qv.groupBy("term_id").agg(F.count(F.lit(1)).alias("nq"))
-    if vocab is not None:
-        dd = vocab.select("term_id", F.col("df").alias("nd"))
-    else:
-        dd = dv.groupBy("term_id").agg(F.count(F.lit(1)).alias("nd"))
-    r = qd.join(dd, "term_id").agg(F.sum(F.col("nq") * F.col("nd"))).first()[0]
-    return int(r or 0)
-
-
-def _packed(v: DataFrame, id_col: str) -> DataFrame:
-    return (v.groupBy(id_col)
-            .agg(F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("e"))
-            .select(id_col, F.col("e.term_id").alias("term_ids"), F.col("e.w").alias("weights")))
-
-
-def rank_queries(qv: DataFrame, dv: DataFrame, positives: DataFrame, n_queries: int,
-                 n_corpus: int, strategy: str = "auto", dense_ratio: float = 0.02,
-                 block: int = 2048, vocab: DataFrame | None = None) -> DataFrame:
-    """Exact ranks by the sparse join when the join is sparse, else by
-    blocked counting.  Both give the same ranks."""
-    if strategy == "auto":
-        est = estimated_pairs(qv, dv, vocab)
-        strategy = "sparse" if est <= max(2_000_000, dense_ratio * n_queries * n_corpus) else "blocked"
-    if strategy == "sparse":
-        return positive_rank(sparse_scores(qv, dv), positives)
-    from pairlane.plans.blocked import blocked_rank
-    # positive score by a bounded join (one document per query)
-    pos_terms = (positives.join(dv.withColumnRenamed("corpus_idx", "pos_idx"), "pos_idx")
-                 .select("query_id", "term_id", F.col("w").alias("wd")))
-    sp = (qv.join(pos_terms, ["query_id", "term_id"])
-          .groupBy("query_id").agg(F.round(F.sum(F.col("w") * F.col("wd")), SCORE_DIGITS).alias("s_pos")))
-    qpack = (_packed(qv, "query_id").join(positives, "query_id", "right")
-             .join(sp, "query_id", "left").fillna(0.0, ["s_pos"])
-             .withColumn("term_ids", F.coalesce("term_ids", F.array().cast("array<long>")))
-             .withColumn("weights", F.coalesce("weights", F.array().cast("array<double>"))))
-    dpack = _packed(dv, "corpus_idx")
-    return blocked_rank(qpack, dpack, n_queries, n_corpus, "sparse", block)
-
-
 def tfidf_scores(model: TfidfModel, qv: DataFrame) -> DataFrame:
     return sparse_scores(qv, model.doc_vectors)
 
 
-def tfidf_topk(model: TfidfModel, qv: DataFrame, k: int) -> DataFrame:
-    return topk(tfidf_scores(model, qv), k)
-
-
-def rank_topk(qv: DataFrame, dv: DataFrame, k: int, n_queries: int, n_corpus: int,
-              strategy: str = "auto", extra: DataFrame | None = None,
-              exclude: DataFrame | None = None, block: int = 2048) -> DataFrame:
-    """Top-k candidates (score > 0) per query by (score desc, corpus_idx asc).
-
-    ``exclude(query_id, corpus_idx)`` pairs are removed before ranking.  In
-    the blocked form each tile keeps k + #excluded(query) rows per query, so
-    removing the excluded pairs afterwards still leaves an exact top-k."""
-    if strategy == "auto":
-        est = estimated_pairs(qv, dv)
-        strategy = "sparse" if est <= max(2_000_000, 0.02 * n_queries * n_corpus) else "blocked"
-    if strategy == "sparse":
-        s = sparse_scores(qv, dv)
-        if exclude is not None:
-            s = s.join(exclude, ["query_id", "corpus_idx"], "left_anti")
-        return topk(s, k).select("query_id", "corpus_idx", "score", "rank")
-    from pairlane.plans.blocked import blocked_topk
-    qpack = _packed(qv, "query_id")
-    if exclude is not None:
-        n_ex = exclude.groupBy("query_id").agg(F.count(F.lit(1)).alias("_ne"))
-        qpack = (qpack.join(n_ex, "query_id", "left")
-                 .withColumn("kq", F.lit(k) + F.coalesce("_ne", F.lit(0))).drop("_ne"))
-    else:
-        qpack = qpack.withColumn("kq", F.lit(k))
-    cand = blocked_topk(qpack, _packed(dv, "corpus_idx"), n_queries, n_corpus, "sparse", block)
-    if exclude is not None:
-        cand = cand.drop("rank").join(exclude, ["query_id", "corpus_idx"], "left_anti")
-        return topk(cand, k).select("query_id", "corpus_idx", "score", "rank")
-    return cand.filter(F.col("rank") <= k).select("query_id", "corpus_idx", "score", "rank")
+def tfidf_topk(model: TfidfModel, qv: DataFrame, query_ids: DataFrame, k: int) -> DataFrame:
+    """The k best documents of every query of ``query_ids``."""
+    return bounded_topk(qv, model.doc_vectors, query_ids, k, query_ids.count(), model.n_docs)
 
 
 def known_matches(pairs: DataFrame, es) -> DataFrame:
@@ -209,10 +142,16 @@ def known_matches(pairs: DataFrame, es) -> DataFrame:
     return m.join(c, "text").join(q, "query_text").select("query_id", "corpus_idx").distinct()
 
 
-def mine_hard_negatives(pairs: DataFrame, es, qv: DataFrame, dv: DataFrame, k: int,
-                        strategy: str = "auto") -> DataFrame:
+def mine_hard_negatives(pairs: DataFrame, es, qv: DataFrame, dv: DataFrame, k: int) -> DataFrame:
     """Per match query: the k most similar corpus items that are neither its
-    positive nor any labelled match of the same left text."""
-    ex = known_matches(pairs, es).unionByName(
-        es.positives.select("query_id", F.col("pos_idx").alias("corpus_idx"))).distinct()
-    return rank_topk(qv, dv, k, es.queries.count(), es.n_corpus, strategy, exclude=ex)
+    positive nor any labelled match of the same left text.  Queries of one left
+    text have one answer, so each left text is searched once."""
+    same = es.queries.select("query_id", "query_text")
+    asked = same.groupBy("query_text").agg(F.min("query_id").alias("rep"))
+    of_query = reuse(same.join(asked, "query_text").select("query_id", "rep"))
+    reps = of_query.select(F.col("rep").alias("query_id")).distinct()
+    # every query's positive is a labelled match of its left text
+    gone = known_matches(pairs, es).join(reps, "query_id", "left_semi")
+    found = bounded_topk(qv.join(reps, "query_id", "left_semi"), dv, reps, k, reps.count(), es.n_corpus, gone)
+    return (of_query.join(found.withColumnRenamed("query_id", "rep"), "rep")
+            .select("query_id", "corpus_idx", "score", "rank"))

@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 
 from pairlane.operators.corpus import EvalSet, eval_corpus
 from pairlane.operators.ranking import retrieval_metrics
-from pairlane.operators.tfidf import TfidfParams, rank_queries, tfidf_fit, tfidf_vectors
+from pairlane.operators.tfidf import TfidfParams, tfidf_fit, tfidf_vectors
+from pairlane.plans.maxscore import bounded_rank
 from pairlane.session import reuse
 
 
 def tfidf_ranks(pairs: DataFrame, params: TfidfParams = TfidfParams(),
-                strategy: str = "auto", es: EvalSet | None = None):
+                es: EvalSet | None = None):
     es = es or eval_corpus(pairs)
     model = tfidf_fit(es.corpus.select("corpus_idx", "text"), params, n_docs=es.n_corpus)
     qv = reuse(tfidf_vectors(
         model, es.queries.select("query_id", F.col("query_text").alias("text")), "query_id"))
     n_q = es.queries.count()
-    ranks = rank_queries(qv, model.doc_vectors, es.positives, n_q, es.n_corpus, strategy,
-                         vocab=model.vocab)
+    ranks = bounded_rank(qv, model.doc_vectors, es.positives, n_q)
     return es, model, qv, ranks.join(es.queries.select("query_id", "n_rows"), "query_id")
 
 
 def tfidf_evaluate(pairs: DataFrame, params: TfidfParams = TfidfParams(),
-                   strategy: str = "auto", ks=(1, 5)) -> DataFrame:
+                   ks=(1, 5)) -> DataFrame:
     """One metrics row: mrr, acc_at_1, acc_at_5, n_queries."""
-    _, _, _, ranks = tfidf_ranks(pairs, params, strategy)
+    _, _, _, ranks = tfidf_ranks(pairs, params)
     return retrieval_metrics(ranks, ks, weight="n_rows")

@@ -118,15 +118,11 @@ def _mrr(spark, sf):
     return R.mrr(tfidf_ranks(pairs(spark, sf))[3], weight="n_rows")
 
 
-@query("topk_corpus", with_pairs("""
-SELECT query_id, corpus_idx, score, rank FROM (
- SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_idx) AS rank FROM scores)
-WHERE rank <= 10""", _RANKS_SQL))
+@query("topk_corpus", with_pairs(S.topk_select(10), _RANKS_SQL))
 def _topk_corpus(spark, sf):
-    """Generic top-k window over a score table (Spark plans a per-partition
-    group limit before the final window)."""
+    """The ten best corpus items of every query."""
     from pairlane.operators import tfidf as T
     es = C.eval_corpus(pairs(spark, sf))
     m = T.tfidf_fit(es.corpus.select("corpus_idx", "text"), n_docs=es.n_corpus)
     qv = T.tfidf_vectors(m, es.queries.select("query_id", F.col("query_text").alias("text")), "query_id")
-    return R.topk(T.sparse_scores(qv, m.doc_vectors), 10).select("query_id", "corpus_idx", "score", "rank")
+    return T.tfidf_topk(m, qv, es.queries.select("query_id"), 10)

@@ -97,3 +97,19 @@ def metrics_select(ranks: str = "ranks", weight: str = "n_rows", ks=(1, 5)) -> s
         for k in ks)
     return (f"SELECT round(sum({weight} / rank) / sum({weight}), 6) AS mrr, {accs}, "
             f"CAST(sum({weight}) AS DOUBLE) AS n_queries FROM {ranks} HAVING sum({weight}) > 0")
+
+
+#: Every query with every document; 0 where they share no term.
+EVERY_SCORE = """,
+every_score AS (SELECT q.query_id, c.corpus_idx, coalesce(s.score, 0.0) AS score FROM queries q CROSS JOIN corpus c
+                LEFT JOIN scores s ON s.query_id = q.query_id AND s.corpus_idx = c.corpus_idx)"""
+
+
+def topk_select(k: int) -> str:
+    """The k best of all documents, those without a shared term by index."""
+    return f"""
+SELECT query_id, corpus_idx, score, rank FROM (
+ SELECT q.query_id, c.corpus_idx, coalesce(s.score, 0.0) AS score,
+        row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(s.score, 0.0) DESC, c.corpus_idx) AS rank
+ FROM queries q CROSS JOIN corpus c LEFT JOIN scores s ON s.query_id = q.query_id AND s.corpus_idx = c.corpus_idx)
+WHERE rank <= {k}"""

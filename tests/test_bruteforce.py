@@ -1,10 +1,11 @@
 """Spark results against brute force on small random inputs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pairlane.operators.dense import dense_topk
-from pairlane.operators.tfidf import rank_queries, rank_topk
+from pairlane.plans import maxscore
 
 
 @pytest.fixture(autouse=True)
@@ -49,32 +50,64 @@ def _brute_ranks(Q, D, pos):
     return out
 
 
+@pytest.mark.parametrize("block,chunk", [(4096, 4096), (16, 7), (1, 1000)])
 @pytest.mark.parametrize("seed", [0, 1])
-def test_ranks_match_brute_force(spark, seed):
+def test_ranks_match_brute_force(spark, monkeypatch, seed, block, chunk):
+    monkeypatch.setattr(maxscore, "BLOCK_DOCS", block)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", chunk)
     Q, D, pos = _random_case(seed)
+    Q[3] = 0  # no term at all
+    Q[4], D[:, 29], pos[4] = 0, 0, 40
+    Q[4, 29] = 1.0  # only a term that no document has
     qv, dv = _df(spark, Q, "query_id"), _df(spark, D, "corpus_idx")
     P = spark.createDataFrame([(i, int(p)) for i, p in enumerate(pos)], "query_id long, pos_idx long")
-    want = _brute_ranks(Q, D, pos)
-    for strategy in ("sparse", "blocked"):
-        got = {r["query_id"]: r["rank"] for r in
-               rank_queries(qv, dv, P, len(Q), D.shape[0], strategy, block=16).collect()}
-        assert got == want, strategy
+    got = {r["query_id"]: r["rank"] for r in maxscore.bounded_rank(qv, dv, P, len(Q)).collect()}
+    assert got == _brute_ranks(Q, D, pos)
 
 
-def test_topk_matches_brute_force(spark):
-    Q, D, _ = _random_case(3)
-    qv, dv = _df(spark, Q, "query_id"), _df(spark, D, "corpus_idx")
+def _brute_topk(Q, D, k, gone=()):
     S = np.round(Q @ D.T, 9)
-    want = {}
+    out = {}
     for i in range(len(Q)):
-        cand = [j for j in range(D.shape[0]) if S[i, j] > 0]
-        want[i] = sorted(cand, key=lambda j: (-S[i, j], j))[:4]
-    for strategy in ("sparse", "blocked"):
-        got = {}
-        for r in rank_topk(qv, dv, 4, len(Q), D.shape[0], strategy, block=16).collect():
-            got.setdefault(r["query_id"], {})[r["rank"]] = r["corpus_idx"]
-        got = {q: [v[k] for k in sorted(v)] for q, v in got.items()}
-        assert {q: v for q, v in want.items() if v} == got, strategy
+        cand = [j for j in range(D.shape[0]) if (i, j) not in gone]
+        for r, j in enumerate(sorted(cand, key=lambda j: (-S[i, j], j))[:k], 1):
+            out[i, r] = (j, S[i, j])
+    return out
+
+
+@pytest.mark.parametrize("block,chunk,k", [(4096, 4096, 4), (16, 7, 4), (16, 4096, 1), (8, 9, 100)])
+def test_topk_matches_brute_force(spark, monkeypatch, block, chunk, k):
+    monkeypatch.setattr(maxscore, "BLOCK_DOCS", block)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", chunk)
+    Q, D, _ = _random_case(3)
+    Q[3] = 0
+    qv, dv = _df(spark, Q, "query_id"), _df(spark, D, "corpus_idx")
+    ids = spark.range(len(Q)).withColumnRenamed("id", "query_id")
+    rng = np.random.default_rng(1)
+    # excluded pairs, among them the best ones, and one query with all documents excluded
+    gone = {(i, j) for i in range(0, len(Q), 2) for j in rng.choice(D.shape[0], 20, replace=False).tolist()}
+    gone |= {(i, j) for (i, r), (j, _) in _brute_topk(Q, D, 3).items() if i % 3 == 0}
+    gone |= {(8, j) for j in range(D.shape[0])}
+    for excluded in (set(), gone):
+        exclude = spark.createDataFrame([(int(i), int(j)) for i, j in excluded], "query_id long, corpus_idx long") \
+            if excluded else None
+        rows = maxscore.bounded_topk(qv, dv, ids, k, len(Q), D.shape[0], exclude).collect()
+        got = {(r["query_id"], r["rank"]): (r["corpus_idx"], round(r["score"], 9)) for r in rows}
+        assert len(rows) == len(got)
+        want = _brute_topk(Q, D, k, excluded)
+        assert {key: v[0] for key, v in got.items()} == {key: v[0] for key, v in want.items()}
+        assert all(abs(got[key][1] - want[key][1]) < 1e-8 for key in want)
+
+
+def test_only_documents_in_reach_are_scored():
+    """With a score to beat, the postings of frequent terms with small bounds are
+    not walked and few documents are scored."""
+    docs = pd.DataFrame({"corpus_idx": range(2000), "term_ids": [[0, 1, 2 + i % 500] for i in range(2000)],
+                         "weights": [[0.1, 0.1, 0.9] for _ in range(2000)]})
+    block = maxscore.Block(docs)
+    places, score = block.reach(np.array([0, 1, 77]), np.array([0.1, 0.1, 0.9]), 0.5)
+    assert len(places) == 4 and set(block.idx[places] % 500) == {75} and (score == 0.83).all()
+    assert len(block.reach(np.array([0, 1]), np.array([0.1, 0.1]), 0.5)[0]) == 0
 
 
 def test_same_group_jaccard_topk_matches_brute_force(spark):
