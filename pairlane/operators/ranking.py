@@ -58,11 +58,12 @@ def mrr(ranks: DataFrame, weight: str | None = None) -> DataFrame:
     return ranks.agg(F.round(F.sum(w / F.col("rank")) / F.sum(w), METRIC_DIGITS).alias("mrr"))
 
 
-def retrieval_metrics(ranks: DataFrame, ks=(1, 5), weight: str | None = None) -> DataFrame:
-    """One row: mrr, acc_at_k..., n_queries (DOUBLE).  No queries -> no row."""
+def retrieval_metrics(ranks: DataFrame, ks=(1, 5), weight: str | None = None, by: str | None = None) -> DataFrame:
+    """One row (one for each value of ``by``): mrr, acc_at_k..., n_queries (DOUBLE).
+    No queries -> no row."""
     w = F.col(weight) if weight else F.lit(1)
     aggs = [F.round(F.sum(w / F.col("rank")) / F.sum(w), METRIC_DIGITS).alias("mrr")]
     aggs += [F.round(F.sum(F.when(F.col("rank") <= k, w).otherwise(0)) / F.sum(w),
                      METRIC_DIGITS).alias(f"acc_at_{k}") for k in ks]
     aggs.append(F.sum(w).cast("double").alias("n_queries"))
-    return ranks.agg(*aggs).filter(F.col("n_queries") > 0)
+    return ranks.groupBy(*([by] if by else [])).agg(*aggs).filter(F.col("n_queries") > 0)

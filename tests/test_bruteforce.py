@@ -4,8 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pairlane.operators.dense import dense_topk
-from pairlane.plans import maxscore
+from pairlane.operators.dense import dense_rank, dense_topk
+from pairlane.plans import balls, maxscore
 
 
 @pytest.fixture(autouse=True)
@@ -138,13 +138,62 @@ def test_same_group_jaccard_topk_matches_brute_force(spark):
     assert got == want
 
 
-def test_dense_topk_brute_force(spark):
-    rng = np.random.default_rng(3)
-    Q, C = rng.standard_normal((20, 5)), rng.standard_normal((50, 5))
-    q = spark.createDataFrame([(i, Q[i].tolist()) for i in range(20)], "query_id long, vec array<double>")
-    c = spark.createDataFrame([(i, C[i].tolist()) for i in range(50)], "corpus_idx long, vec array<double>")
-    got = {(r["query_id"], r["rank"]): r["corpus_idx"] for r in dense_topk(q, c, 3, block=16).collect()}
-    S = Q @ C.T
-    for i in range(20):
-        order = sorted(range(50), key=lambda j: (-round(S[i, j], 9), j))[:3]
-        assert [got[(i, k)] for k in (1, 2, 3)] == order
+def _dense_case(seed, clusters, n=300, dims=8, spread=0.1):
+    rng = np.random.default_rng(seed)
+    centre = rng.standard_normal((clusters, dims)) * 2
+    C = centre[rng.integers(clusters, size=n)] + spread * rng.standard_normal((n, dims))
+    C[7] = C[3]  # ties
+    C[200:260] = C[200]  # a ball that no centre can cut
+    return centre[rng.integers(clusters, size=40)] + spread * rng.standard_normal((40, dims)), C, rng
+
+
+def _dense_frames(spark, Q, C, **more):
+    q = [(i, Q[i].tolist(), *[m[0][i] for m in more.values()]) for i in range(len(Q))]
+    c = [(i, C[i].tolist(), *[m[1][i] for m in more.values()]) for i in range(len(C))]
+    extra = "".join(f", {k} string" for k in more)
+    return (spark.createDataFrame(q, f"query_id long, vec array<double>{extra}"),
+            spark.createDataFrame(c, f"corpus_idx long, vec array<double>{extra}"))
+
+
+@pytest.mark.parametrize("rows,k", [(1024, 3), (16, 3), (16, 500)])
+def test_dense_topk_brute_force(spark, monkeypatch, rows, k):
+    monkeypatch.setattr(balls, "BALL_ROWS", rows)
+    monkeypatch.setattr(balls, "QUERY_ROWS", 3 * rows)
+    Q, C, rng = _dense_case(3, 12)
+    groups = [rng.choice(["a", "b", None], size=len(m)).tolist() for m in (Q, C)]
+    S = np.round(Q @ C.T, 9)
+    for more in ({}, {"grp": groups}):
+        got = {(r["query_id"], r["rank"]): r["corpus_idx"] for r in dense_topk(*_dense_frames(spark, Q, C, **more), k).collect()}
+        want = {}
+        for i in range(len(Q)):
+            free = [j for j in range(len(C)) if not more or groups[0][i] != groups[1][j]]
+            want |= {(i, r): j for r, j in enumerate(sorted(free, key=lambda j: (-S[i, j], j))[:k], 1)}
+        assert got == want
+
+
+@pytest.mark.parametrize("rows", [1024, 16])
+def test_dense_ranks_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(balls, "BALL_ROWS", rows)
+    Q, C, rng = _dense_case(4, 12)
+    pos = rng.integers(len(C), size=len(Q))
+    S = np.round(Q @ C.T, 9)
+    q, c = _dense_frames(spark, Q, C)
+    q = q.join(spark.createDataFrame([(i, int(p)) for i, p in enumerate(pos)], "query_id long, pos_idx long"), "query_id")
+    rows_ = dense_rank(q, c).collect()
+    assert {r["query_id"]: r["rank"] for r in rows_} == {
+        i: 1 + sorted(range(len(C)), key=lambda j: (-S[i, j], j)).index(int(pos[i])) for i in range(len(Q))}
+    if rows == 16:  # clustered vectors: most balls are passed over or counted whole
+        assert sum(r["visited"] for r in rows_) < 0.4 * len(Q) * len(C)
+
+
+def test_ball_bounds_hold():
+    rng = np.random.default_rng(6)
+    members = rng.standard_normal((50, 5)) * rng.random((50, 1)) * 3
+    centre = members.mean(axis=0)
+    norms = np.linalg.norm(members, axis=1)
+    b = balls.Balls([{"ball": 0, "centre": centre, "radius": np.linalg.norm(members - centre, axis=1).max(),
+                      "low": norms.min(), "high": norms.max(), "n": 50}])
+    q = rng.standard_normal((200, 5))
+    least, most = b.score_bounds(q)
+    score = q @ members.T
+    assert (least[:, 0] <= score.min(axis=1) + 1e-9).all() and (most[:, 0] >= score.max(axis=1) - 1e-9).all()

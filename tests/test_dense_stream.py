@@ -45,7 +45,9 @@ def test_stream_replay_is_idempotent(spark):
 def test_in_batch_with_negatives(spark):
     rows = [(i, i, 1000 + i, 2000 + i if i % 2 == 0 else None) for i in range(70)]
     p = spark.createDataFrame(rows, "pair_key long, anchor_id long, positive_id long, negative_id long")
-    c = D.in_batch_candidates(p, batch=32)
+    everyone = D.in_batch_candidates(p, batch=32)
+    assert everyone.select("pair_key").distinct().count() == 70
+    c = D.in_batch_candidates(p, batch=32, drop_last=True)
     per = {r["anchor_id"]: (r["batch_id"], r["count"]) for r in c.groupBy("batch_id", "anchor_id").count().collect()}
     assert len(per) == 64                      # 70 pairs -> two full batches, 6 dropped
     n_neg = {r["batch_id"]: r["n"] for r in c.filter("candidate_id >= 2000").groupBy("batch_id")

@@ -67,9 +67,10 @@ def test_zero_overlap_rows_absent(spark):
     assert r[1] == 2
 
 
-def test_blocked_equals_sparse(spark):
-    """Random sparse vectors with hot terms: blocked counting = join path."""
-    from pairlane.operators.tfidf import rank_queries
+def test_bounded_ranks_equal_score_table(spark):
+    """Random sparse vectors with hot terms: ranks by bounds = ranks over the joined scores."""
+    from pairlane.operators.tfidf import sparse_scores
+    from pairlane.plans.maxscore import bounded_rank
     rng = np.random.default_rng(1)
     nq, nd, V = 60, 90, 40
     qv = [(q, int(t), float(rng.random())) for q in range(nq) for t in set(rng.integers(0, V, 6).tolist()) | {0}]
@@ -77,8 +78,7 @@ def test_blocked_equals_sparse(spark):
     dv += [(nd + i, t, w) for i, (d, t, w) in enumerate(dv[:5]) if d == 0]  # duplicate doc -> ties
     Q = spark.createDataFrame(qv, "query_id long, term_id long, w double")
     D = spark.createDataFrame(dv, "corpus_idx long, term_id long, w double")
-    n_d = D.select("corpus_idx").distinct().count()
     P = spark.createDataFrame([(q, int(rng.integers(0, nd))) for q in range(nq)], "query_id long, pos_idx long")
-    a = {r["query_id"]: r["rank"] for r in rank_queries(Q, D, P, nq, n_d, "sparse").collect()}
-    b = {r["query_id"]: r["rank"] for r in rank_queries(Q, D, P, nq, n_d, "blocked", block=16).collect()}
+    a = {r["query_id"]: r["rank"] for r in R.positive_rank(sparse_scores(Q, D), P).collect()}
+    b = {r["query_id"]: r["rank"] for r in bounded_rank(Q, D, P, nq).collect()}
     assert a == b
