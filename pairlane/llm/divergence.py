@@ -16,9 +16,10 @@ the number of groups.  All arithmetic is on integers without bound.
 from __future__ import annotations
 
 from collections import Counter
-from decimal import Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ from pairlane.plans.indexing import dense_index
 #: Terms of a block (a power of two) and groups of a tile.
 BLOCK_TERMS, TILE_GROUPS = 1 << 11, 64
 #: Distinct (group, term) entries that a task holds before it passes them on.
-HELD_TERMS = 200_000
+HELD_TERMS = 400_000
+#: Parts of a language's join of groups with blocks.
+SALT = 64
 #: Probabilities are whole parts of this.
 SCALE = 1_000_000_000
 
@@ -36,7 +39,7 @@ SCALE = 1_000_000_000
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 COUNTED = "lang string, source string, term string, n long, docs long"
-PRICED = "lang string, a long, b long, value decimal(38,0), top array<struct<id:long,value:decimal(38,0)>>"
+PRICED = "lang string, a long, b long, value long, top array<struct<id:long,value:long>>"
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -47,13 +50,16 @@ def term_counts(docs: DataFrame) -> DataFrame:
         size = 0
 
         def flush():
-            rows = [(lang, source, term.decode("utf-8", "surrogatepass"), k, with_it[term])
-                    for (lang, source), (times, with_it) in held.items() for term, k in times.items()]
-            rows += [(lang, source, None, 0, 0) for lang, source in held]
-            return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
-
-        for pdf in batches:
-            for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"]):
+            for (lang, source), (times, with_it) in held.items():
+                n = len(times) + 1
+                yield pa.RecordBatch.from_arrays([
+                    pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n),
+                    pa.array([None, *times], pa.binary()).cast(pa.string()),
+                    pa.array([0, *times.values()], pa.int64()),
+                    pa.array([0, *map(with_it.__getitem__, times)], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
                 if (lang, source) not in held:
                     held[lang, source] = (Counter(), Counter())
                 times, with_it = held[lang, source]
@@ -63,13 +69,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 with_it.update(own.keys())
                 size += len(times) - before
                 if size > HELD_TERMS:
-                    yield flush()
+                    yield from flush()
                     held, size = {}, 0
-        if held:
-            yield flush()
+        yield from flush()
 
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]) \
-               .mapInPandas(run, COUNTED)
+               .mapInArrow(run, COUNTED)
 
 
 class Forest:
@@ -103,52 +108,63 @@ def share(count: int, total: int, terms: int) -> int:
 
 
 class Walk:
-    """Prices pairs of nodes of the trees of two groups with totals ``total``."""
-
-    def __init__(self, forest: Forest, terms: int, total_a: int, total_b: int):
-        self.forest, self.terms, self.totals = forest, terms, (total_a, total_b)
-        self.prices: dict[tuple[int, int], int] = {}
-        self.tops: dict[tuple[int, int], list] = {}
-
-    def leaf(self, x: int, y: int) -> tuple[int, int]:
-        """(price, sign of p - q) of two leaves."""
-        (_, c), (_, d) = self.forest.nodes[x], self.forest.nodes[y]
-        p, q = share(c, self.totals[0], self.terms), share(d, self.totals[1], self.terms)
-        return (p - q) * (p - q) // (p + q), (p > q) - (p < q)
-
-    def price(self, x: int, y: int) -> int:
-        """Sum of the prices of the terms below two nodes of one place."""
-        if not x:  # beyond the last term in one tree is so in every tree
-            return 0
-        got = self.prices.get((x, y))
-        if got is None:
-            left = self.forest.nodes[x]
-            if left[0] == "count":
-                got = self.leaf(x, y)[0]
-            else:
-                right = self.forest.nodes[y]
-                got = self.price(left[1], right[1]) + self.price(left[2], right[2])
-            self.prices[x, y] = got
-        return got
-
-    def top(self, x: int, y: int, level: int, k: int) -> list[tuple[int, int]]:
-        """The k best (-price, place in the node) of terms with a count in the
-        first tree that are likelier there; ties to the smaller place."""
-        if not x:
-            return []
-        got = self.tops.get((x, y))
-        if got is None:
-            left = self.forest.nodes[x]
-            if left[0] == "count":
-                value, sign = self.leaf(x, y)
-                got = [(-value, 0)] if left[1] and sign > 0 else []
-            else:
-                right, half = self.forest.nodes[y], 1 << (level - 1)
-                got = self.top(left[1], right[1], level - 1, k) + \
-                    [(v, half + at) for v, at in self.top(left[2], right[2], level - 1, k)]
-                got = sorted(got)[:k]
-            self.tops[x, y] = got
-        return got
+    """Prices pairs of nodes over the trees of a forest for a language of ``terms``
+    terms; a group is its total and its root."""
+
+    def __init__(self, forest: Forest, terms: int):
+        self.forest, self.terms = forest, terms
+        inner = [n if len(n) == 3 else (0, 0, 0) for n in forest.nodes]
+        self.left = np.array([n[1] for n in inner], np.int64)
+        self.right = np.array([n[2] for n in inner], np.int64)
+        self.counts = {k: n[1] for k, n in enumerate(forest.nodes) if len(n) == 2}
+
+    def shares(self, total: int) -> np.ndarray:
+        """The share of every leaf's count in a group; at most SCALE + 1, so squares
+        of differences are 64-bit numbers whatever the counts."""
+        out = np.ones(len(self.forest.nodes), np.int64)
+        for k, count in self.counts.items():
+            if count <= total:  # a leaf of another group may have more than this one has in all
+                out[k] = share(count, total, self.terms)
+        return out
+
+    def price(self, x: int, y: int, p: np.ndarray, q: np.ndarray) -> tuple[int, int]:
+        """(sum of the prices of all terms, leaf pairs priced) of the roots ``x`` and
+        ``y`` of groups with the shares ``p`` and ``q``.  Both trees are walked at
+        once, level by level; pairs that are equal become one with their number."""
+        xs, ys, times = np.array([x]), np.array([y]), np.ones(1, np.int64)
+        for _ in range(self.forest.levels):
+            xs = np.concatenate([self.left[xs], self.right[xs]])
+            ys = np.concatenate([self.left[ys], self.right[ys]])
+            pair, of = np.unique(xs * len(self.left) + ys, return_inverse=True)
+            times = np.bincount(of, np.concatenate([times, times])).astype(np.int64)
+            xs, ys = pair // len(self.left), pair % len(self.left)
+            times, xs, ys = times[xs > 0], xs[xs > 0], ys[xs > 0]  # node 0 lies beyond the last term
+        d = p[xs] - q[ys]
+        return int((times * (d * d // (p[xs] + q[ys]))).sum()), len(xs)
+
+    def top(self, x: int, y: int, p: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k best (-price, place) of terms with a count in the first tree that are
+        likelier there; ties to the smaller place.  Equal pairs are listed once."""
+        p, q, known = p.tolist(), q.tolist(), {}
+
+        def best(x, y, half):
+            got = known.get((x, y))
+            if got is None:
+                left = self.forest.nodes[x]
+                if not x:
+                    got = []
+                elif len(left) == 2:
+                    d = p[x] - q[y]
+                    got = [(-(d * d // (p[x] + q[y])), 0)] if left[1] and d > 0 else []
+                else:
+                    right = self.forest.nodes[y]
+                    got = best(left[1], right[1], half // 2) + \
+                        [(v, half + at) for v, at in best(left[2], right[2], half // 2)]
+                    if len(got) > 1:
+                        got = sorted(got)[:k]
+                known[x, y] = got
+            return got
+        return best(x, y, (1 << self.forest.levels) // 2)
 
 
 def _price_block(block_terms: int, k: int):
@@ -161,15 +177,18 @@ def _price_block(block_terms: int, k: int):
             if int(g) not in groups:
                 counts = {int(e["id"]) - base: int(e["n"]) for e in (entries if entries is not None else [])}
                 groups[int(g)] = (int(tile), int(total), forest.tree(counts))
-        rows, (i, j) = [], (int(key[2]), int(key[3]))
-        for a, (tile_a, total_a, x) in groups.items():
-            for b, (tile_b, total_b, y) in groups.items():
+        walk, rows, (i, j) = Walk(forest, terms), [], (int(key[2]), int(key[3]))
+        shares = {g: walk.shares(total) for g, (_, total, _) in groups.items()}
+        for a, (tile_a, _, x) in groups.items():
+            for b, (tile_b, _, y) in groups.items():
                 if b == -1 and a != -1 and i == j:  # against the whole language
-                    best = Walk(forest, terms, total_a, total_b).top(x, y, forest.levels, k)
-                    rows.append((lang, a, b, None, [{"id": base + at, "value": Decimal(-v)} for v, at in best]))
+                    best = walk.top(x, y, shares[a], shares[b], k)
+                    rows.append((lang, a, b, None, [{"id": base + at, "value": -v} for v, at in best]))
                 elif -1 < a < b and (tile_a, tile_b) == (i, j):
-                    rows.append((lang, a, b, Decimal(Walk(forest, terms, total_a, total_b).price(x, y)), None))
-        return pd.DataFrame(rows, columns=["lang", "a", "b", "value", "top"])
+                    rows.append((lang, a, b, walk.price(x, y, shares[a], shares[b])[0], None))
+        out = pd.DataFrame(rows, columns=["lang", "a", "b", "value", "top"])
+        out["value"] = out["value"].astype("Int64")
+        return out
     return run
 
 
@@ -212,12 +231,15 @@ def audit(docs: DataFrame, min_docs: int = 10, k: int = 10,
     members = (numbered.select("lang", "g", "tile", "total")
                .unionByName(langs.select("lang", F.lit(-1).cast("long").alias("g"), F.lit(-1).cast("long").alias("tile"),
                                          F.col("lang_total").alias("total"))))
-    sizes = langs.select("lang", "terms")
-    trees = (members.join(sizes, "lang").join(blocks, "lang").join(packed, ["lang", "g", "block"], "left"))
     tiles = numbered.select("lang", "tile").distinct()
     pairs = (tiles.select("lang", F.col("tile").alias("i")).join(tiles.select("lang", F.col("tile").alias("j")), "lang")
              .where("i <= j"))
-    dealt = trees.join(pairs, "lang").where("tile = i OR tile = j OR (tile = -1 AND i = j)")
+    # a language may have many groups and blocks, so their join is salted by the block
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    wanted = (members.join(langs.select("lang", "terms"), "lang").join(pairs, "lang")
+              .where("tile = i OR tile = j OR (tile = -1 AND i = j)").withColumn("salt", salt))
+    dealt = (wanted.join(blocks.withColumn("salt", F.pmod("block", F.lit(SALT)).cast("int")), ["lang", "salt"])
+             .join(packed, ["lang", "g", "block"], "left"))
     priced = stored(dealt.select("lang", "block", "i", "j", "g", "tile", "total", "terms", "entries")
                     .groupBy("lang", "block", "i", "j").applyInPandas(_price_block(block_terms, k), PRICED), "prices")
 

@@ -139,9 +139,13 @@ def test_forest_shares_and_prices_once():
     forest = divergence.Forest(1000)
     a, b = forest.tree({}), forest.tree({})
     assert a == b and len(forest.nodes) < 40  # all zero: one chain of nodes
-    walk = divergence.Walk(forest, 1000, 10, 30)
+    walk = divergence.Walk(forest, 1000)
     p, q = divergence.share(0, 10, 1000), divergence.share(0, 30, 1000)
-    assert walk.price(a, forest.tree({})) == 1000 * ((p - q) ** 2 // (p + q)) and len(walk.prices) < 40
+    assert walk.price(a, b, walk.shares(10), walk.shares(30)) == (1000 * ((p - q) ** 2 // (p + q)), 1)
+    c = forest.tree({0: 5, 999: 5})
+    walk = divergence.Walk(forest, 1000)
+    value, priced = walk.price(a, c, walk.shares(10), walk.shares(30))
+    assert priced == 2 and value > 0  # a thousand terms, two different pairs of leaves
 
 
 def test_counts_beyond_64_bits():
