@@ -46,3 +46,20 @@ def dense_index(df: DataFrame, order_cols: list, name: str,
     offs = df.sparkSession.createDataFrame(list(offsets.items()), "_p long, _off long")
     return (tagged.join(F.broadcast(offs), part == F.col("_p"))
             .select((F.col("_off") + low).alias(name), *df.columns))
+
+
+def successor(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Distinct (``key``, ``value``) with ``name``, the next larger value of the
+    same key; after the largest comes the smallest.  Keys of one value have no row.
+
+    The rows are numbered in order over the whole table and each is joined to the
+    number after it, so a key that holds most values is spread like any other (a
+    window for each key would put it into one task)."""
+    idx = dense_index(df.select(key, value).distinct(), [F.col(key), F.col(value)], "_i")
+    after = idx.select((F.col("_i") - 1).alias("_i"), F.col(key).alias("_key"), F.col(value).alias(name))
+    pairs = idx.join(after, "_i", "left").withColumn("_inside", F.coalesce(F.col("_key") == F.col(key), F.lit(False)))
+    inside = pairs.where("_inside").select(key, value, name)
+    # the largest value of a key: one row for each key
+    wrap = (pairs.where("NOT _inside").select(key, value)
+            .join(idx.groupBy(key).agg(F.min(value).alias(name)), key).where(F.col(name) != F.col(value)))
+    return inside.unionByName(wrap.select(key, value, name))
