@@ -82,24 +82,31 @@ def products(pairs: DataFrame, n_per_product: int = 5) -> DataFrame:
     return m.withColumn("cache_key", negative_cache_key("product_text", n_per_product))
 
 
+def of_run(cache: DataFrame, neg_type: str, strategy: str, model_id: str) -> DataFrame:
+    """The answers of one run: an answer of another type, strategy or model is
+    none, though its key (text and number of answers) is the same."""
+    return cache.filter((F.col("negative_type") == neg_type) & (F.col("strategy") == strategy)
+                        & (F.col("model_id") == model_id))
+
+
 def cache_hits(prods: DataFrame, cache: DataFrame, neg_type: str, strategy: str,
                model_id: str) -> DataFrame:
-    """Products with a cached answer, one row per cached negative; the
+    """Products with a cached answer of the run, one row per cached negative; the
     timestamp is NULL on hits."""
-    c = cache.select("cache_key", "neg_idx", "negative_text")
-    return prods.join(c, "cache_key").select(
-        "pair_id", "product_text", "negative_text", "neg_idx",
-        F.lit(neg_type).alias("negative_type"), F.lit(strategy).alias("strategy"),
-        F.lit(model_id).alias("model_id"), F.lit(None).cast("string").alias("timestamp"))
-
-
-def cache_misses(prods: DataFrame, cache: DataFrame) -> DataFrame:
-    """Products still to generate; identical products (same key) generate
-    once (the first pair by id asks)."""
-    miss = prods.join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
-    return miss.groupBy("cache_key").agg(F.min("pair_id").alias("pair_id"),
-                                         F.min("product_text").alias("product_text"),
-                                         F.count(F.lit(1)).alias("n_products"))
+    c = of_run(cache, neg_type, strategy, model_id)
+    return prods.join(c.select("cache_key", "neg_idx", "negative_text", "negative_type", "strategy", "model_id"),
+                      "cache_key").select(
+        "pair_id", "product_text", "negative_text", "neg_idx", "negative_type", "strategy", "model_id",
+        F.lit(None).cast("string").alias("timestamp"))
+
+
+def cache_misses(prods: DataFrame, cache: DataFrame, neg_type: str, strategy: str, model_id: str) -> DataFrame:
+    """Products still to generate in the run; identical products (same key)
+    generate once (the first pair by id asks)."""
+    done = of_run(cache, neg_type, strategy, model_id).select("cache_key").distinct()
+    return prods.join(done, "cache_key", "left_anti").groupBy("cache_key").agg(
+        F.min("pair_id").alias("pair_id"), F.min("product_text").alias("product_text"),
+        F.count(F.lit(1)).alias("n_products"))
 
 
 def price_columns(model_id: "F.Column") -> tuple["F.Column", "F.Column"]:

@@ -45,6 +45,21 @@ def cache_records(spark, sf):
         _ts(F.regexp_extract("id_left", r"L(\d+)", 1).cast("bigint")).alias("timestamp"))
 
 
+def shared_cache(spark, sf):
+    """The answers of the run beside others with the same keys: a type, a strategy
+    and a model that are not asked for, in part for products without an answer."""
+    recs = cache_records(spark, sf)
+    prods = N.products(pairs(spark, sf), N_PER)
+    other = recs.limit(0).unionByName(prods.select(
+        "cache_key", "pair_id", "product_text", F.lit("of another run").alias("negative_text"), F.lit(0).alias("neg_idx"),
+        F.lit(NEG_TYPE).alias("negative_type"), F.lit(STRATEGY).alias("strategy"), F.lit(MODEL).alias("model_id"),
+        F.lit(N_PER).alias("n_negatives_requested"), F.lit(0).cast("bigint").alias("prompt_tokens"),
+        F.lit(0).cast("bigint").alias("completion_tokens"), F.lit("2026-01-01T00:00:00Z").alias("timestamp")))
+    return (recs.unionByName(other.withColumn("negative_type", F.lit("phonetic")))
+            .unionByName(other.withColumn("strategy", F.lit("zero_shot")))
+            .unionByName(other.withColumn("model_id", F.lit("org/other"))))
+
+
 # ------------------------------------------------------------------- sql ---
 
 def _sq(x):
@@ -98,7 +113,7 @@ def _parse_rejects(spark, sf):
     "SELECT cache_key, neg_idx, negative_text, timestamp FROM cache", *ALL))
 def _load_negative_cache(spark, sf):
     path = cache_io.work_path(spark, "negcache")
-    cache_io.append_negative_cache(cache_records(spark, sf), path)
+    cache_io.append_negative_cache(shared_cache(spark, sf), path)
     # foreign lines in the same files: truncated JSON and key-less records
     resp = fixtures.responses(spark, sf)
     bad = resp.filter(F.col("kind").isin(3, 5)).select(
@@ -107,11 +122,16 @@ def _load_negative_cache(spark, sf):
         F.when(F.col("kind") == 5, F.col("response"))
         .otherwise(F.to_json(F.struct(F.col("pair_id"), F.lit("x").alias("negative_text")))).alias("value"))
     cache_io.append_raw_lines(bad, path)
-    c = cache_io.load_negative_cache(spark, path)
+    c = cache_io.load_negative_cache(spark, path, NEG_TYPE, STRATEGY, MODEL)
     return c.select("cache_key", "neg_idx", "negative_text", "timestamp")
 
 
-@query("append_negative_cache")
+_CACHE_COLS = ("cache_key, pair_id, product_text, negative_text, neg_idx, negative_type, strategy, model_id, "
+               "n_negatives_requested, prompt_tokens, completion_tokens")
+
+
+@query("append_negative_cache", with_pairs(
+    f"SELECT {_CACHE_COLS}, timestamp FROM cache UNION ALL SELECT {_CACHE_COLS}, timestamp || '+1' FROM cache", *ALL))
 def _append_negative_cache(spark, sf):
     """Append twice (a forced re-run) and read back: rows double, the
     newest-run view keeps one answer set per key."""
@@ -122,7 +142,12 @@ def _append_negative_cache(spark, sf):
     return cache_io.load_negative_cache(spark, path)
 
 
-@query("append_failures")
+@query("append_failures", with_pairs(f"""
+SELECT p.pair_id, p.product_text, '{NEG_TYPE}' AS negative_type, '{STRATEGY}' AS strategy, '{MODEL}' AS model_id,
+  CASE WHEN r.j IS NULL THEN 'invalid json' WHEN json_type(r.j) <> 'OBJECT' THEN 'not an object'
+       WHEN r.arr IS NULL OR len(r.arr) = 0 THEN 'hard_negatives empty or missing' ELSE 'all entries blank' END AS error,
+  '2026-01-01T00:00:00Z' AS timestamp
+FROM r3 r JOIN prods p ON p.id_left = r.pair_id WHERE r.pair_id NOT IN (SELECT pair_id FROM good)""", PARSE_SQL, PROD_SQL))
 def _append_failures(spark, sf):
     _, bad = parsed(spark, sf)
     path = cache_io.work_path(spark, "failures")
@@ -143,7 +168,7 @@ SELECT p.pair_id, p.product_text, c.negative_text, c.neg_idx, c.negative_type, c
 FROM prods p JOIN cache c ON c.cache_key = p.cache_key""", *ALL))
 def _cache_hits(spark, sf):
     prods = N.products(pairs(spark, sf), N_PER)
-    return N.cache_hits(prods, cache_records(spark, sf), NEG_TYPE, STRATEGY, MODEL)
+    return N.cache_hits(prods, shared_cache(spark, sf), NEG_TYPE, STRATEGY, MODEL)
 
 
 @query("cache_misses", with_pairs("""
@@ -151,7 +176,7 @@ SELECT cache_key, min(pair_id) AS pair_id, min(product_text) AS product_text, co
 FROM prods WHERE cache_key NOT IN (SELECT cache_key FROM cache) GROUP BY 1""", *ALL))
 def _cache_misses(spark, sf):
     prods = N.products(pairs(spark, sf), N_PER)
-    return N.cache_misses(prods, cache_records(spark, sf))
+    return N.cache_misses(prods, shared_cache(spark, sf), NEG_TYPE, STRATEGY, MODEL)
 
 
 _PROMPTS_SQL = (f"prompts AS (SELECT pair_id, {prompt_sql('product_text', repr(NEG_TYPE), repr(STRATEGY))} "
@@ -166,7 +191,7 @@ JOIN prompts pr ON pr.pair_id = m.pair_id""", *ALL, _PROMPTS_SQL))
 def _prompt_dry_run(spark, sf):
     from pairlane.operators import prompts as P
     prods = N.products(pairs(spark, sf), N_PER)
-    miss = N.cache_misses(prods, cache_records(spark, sf))
+    miss = N.cache_misses(prods, shared_cache(spark, sf), NEG_TYPE, STRATEGY, MODEL)
     pr = P.build_prompts(miss.select("pair_id", "product_text"), NEG_TYPE, STRATEGY, N_PER, "parts")
     return pr.select("pair_id", F.substring("product_text", 1, 80).alias("product_preview"),
                      F.substring("prompt", 1, 500).alias("prompt_preview"))
@@ -244,7 +269,7 @@ _TRIP_SQL = f"""trip AS (
 
 def _negs(spark, sf):
     prods = N.products(pairs(spark, sf), N_PER)
-    return N.cache_hits(prods, cache_records(spark, sf), NEG_TYPE, STRATEGY, MODEL)
+    return N.cache_hits(prods, shared_cache(spark, sf), NEG_TYPE, STRATEGY, MODEL)
 
 
 @query("triplets_from_negatives", with_pairs("SELECT * FROM trip", *ALL, _NEGS_SQL, _TRIP_SQL.replace("__RATIO__", "1")))
@@ -279,7 +304,9 @@ def _triplet_ratio(spark, sf):
                                  F.floor(a / b).cast("bigint").alias("ratio"))
 
 
-@query("write_triplets")
+@query("write_triplets", with_pairs(f"""
+SELECT *, 'parts' AS category, 'train_100pct' AS split, '{NEG_TYPE}' AS negative_type, '{STRATEGY}' AS strategy,
+       '{MODEL}' AS model_id FROM trip""", *ALL, _NEGS_SQL, _TRIP_SQL.replace("__RATIO__", "1")))
 def _write_triplets(spark, sf):
     t = TR.triplets_from_negatives(pairs(spark, sf), _negs(spark, sf), ratio=1, seed=42)
     path = cache_io.work_path(spark, "triplets")

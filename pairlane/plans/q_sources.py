@@ -154,16 +154,38 @@ def _load_split(spark, sf):
     return IO.load_split(spark, root, "train_25pct", "small").select(*UNIFIED_COLS, "category", "split")
 
 
-@query("write_splits")
+def _write_splits_sql():
+    from pairlane.plans.q_splits import _lrs_sql
+    return with_pairs("""
+SELECT category, split, count(*) AS n_rows, min(pair_id) AS first_pair_id, max(pair_id) AS last_pair_id,
+       md5(string_agg(pair_id, ',' ORDER BY pair_id)) AS ids_md5
+FROM (SELECT category, split, pair_id FROM lrs WHERE split <> 'train_25pct'
+      UNION ALL SELECT category, 'train_25pct', pair_id FROM p
+      WHERE NOT EXISTS (SELECT 1 FROM lrs l WHERE l.split IN ('test', 'val') AND l.category = p.category
+                        AND l.pair_id = p.pair_id))
+GROUP BY 1, 2""", *_lrs_sql())
+
+
 def _write_splits(spark, sf):
-    """Write, then write again without force: existing partitions are kept,
-    so the table holds each split once."""
-    from pairlane.plans.q_splits import _lrs
+    """Write all splits but one, then, without force, all of them again with every
+    pair as the missing one: stored parts stay, and the new one comes without the
+    pairs of the stored holdouts."""
+    from pairlane.plans.q_splits import _lrs, _p
+    from pairlane.sources import split_table
     root = work_path(spark, "splits")
     s = _lrs(spark, sf)
-    IO.write_splits(s, root)
-    IO.write_splits(s, root)
-    return spark.read.parquet(root).groupBy("category", "split").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
+    IO.write_splits(s.filter("split <> 'train_25pct'"), root)
+    every = _p(spark, sf).withColumn("split", F.lit("train_25pct")).select(*s.columns)
+    IO.write_splits(s.filter("split <> 'train_25pct'").unionByName(every), root)
+    parts = split_table.stored_parts(spark, root)
+    out = None
+    for c, name in sorted(parts):
+        part = split_table.read_part(spark, parts, c, name).select("category", "split", "pair_id")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("category", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("pair_id").alias("first_pair_id"), F.max("pair_id").alias("last_pair_id"),
+        F.md5(F.array_join(F.sort_array(F.collect_list("pair_id")), ",")).alias("ids_md5"))
+
+
+query("write_splits", _write_splits_sql())(_write_splits)
 query("load_split", _load_split_sql())(_load_split)

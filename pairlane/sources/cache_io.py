@@ -40,11 +40,15 @@ def append_raw_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("append").partitionBy(*RUN_KEYS).text(path)
 
 
-def load_negative_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Read the JSON-lines cache; malformed lines and lines without a key
-    or text are skipped."""
+def load_negative_cache(spark: SparkSession, path: str, neg_type: str | None = None, strategy: str | None = None,
+                        model_id: str | None = None) -> DataFrame:
+    """Read the JSON-lines cache; malformed lines and lines without a key or text
+    are skipped.  The run keys given read only their own partitions."""
     df = (spark.read.schema(CACHE_SCHEMA).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    for name, value in (("negative_type", neg_type), ("strategy", strategy), ("model_id", model_id)):
+        if value is not None:
+            df = df.filter(F.col(name) == value)
     return (df.filter(F.col("_corrupt_record").isNull() & F.col("cache_key").isNotNull()
                       & F.col("negative_text").isNotNull()).drop("_corrupt_record"))
 

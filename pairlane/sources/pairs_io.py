@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlane.schema import RAW_SCHEMA, UNIFIED_COLS, UNIFIED_SCHEMA, VALID_SPLITS
+from pairlane.sources import split_table
 
 
 def read_pairs_json(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
@@ -105,35 +106,38 @@ def union_parts(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
     return conform_pairs(out)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def write_splits(df: DataFrame, root: str, force: bool = False) -> None:
-    """One Parquet table partitioned by (category, split).  Without
-    ``force`` partitions that already exist are kept (only new ones are
-    appended); with ``force`` the written partitions are replaced."""
-    spark = df.sparkSession
-    if force or not _exists(spark, root):
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("category", "split").parquet(root))
-        return
-    have = spark.read.parquet(root).select("category", "split").distinct()
-    df.join(have, ["category", "split"], "left_anti").write.mode("append") \
-        .partitionBy("category", "split").parquet(root)
+    """Publish the (category, split) parts of ``df`` (``split_table``): stored parts
+    are kept unless ``force``, and no train part keeps a row of a holdout."""
+    split_table.write_splits(df, root, force)
 
 
 def load_split(spark: SparkSession, root: str, split_name: str, category: str) -> DataFrame:
-    """Read one (category, split): the filter prunes partitions at the scan."""
+    """Read one published (category, split)."""
     if split_name not in VALID_SPLITS:
         raise ValueError(f"Unknown split '{split_name}'. Choose from: {VALID_SPLITS}")
-    part = f"{root.rstrip('/')}/category={category.lower()}/split={split_name}"
-    if not _exists(spark, part):
-        raise FileNotFoundError(f"Split not found: {part}")
-    return (spark.read.parquet(root)
-            .filter((F.col("category") == category.lower()) & (F.col("split") == split_name)))
+    return split_table.load_split(spark, root, split_name, category)
+
+
+def splits_with_stored_test(spark: SparkSession, root: str, train: DataFrame, val: DataFrame,
+                            fractions: dict[str, float], seed: int, groups: list[str]) -> DataFrame:
+    """Low-resource splits for the table at ``root``: a category whose test part is
+    stored keeps it, and its train parts are drawn from what is left of ``train``;
+    the others get a test part carved from ``train``."""
+    from pairlane.operators.splits import low_resource_splits
+    parts = split_table.stored_parts(spark, root)
+    held = sorted(c for c, s in parts if s == "test")
+    if not held:
+        return low_resource_splits(train, val, None, fractions, seed, groups=groups)
+    known = F.lower("category").isin(held)
+    test = None
+    for c in held:
+        part = split_table.read_part(spark, parts, c, "test").drop("split")
+        test = part if test is None else test.unionByName(part)
+    kept = low_resource_splits(train.where(known), val.where(known), test.select(*train.columns), fractions, seed,
+                               groups=groups)
+    return kept.unionByName(low_resource_splits(train.where(~known), val.where(~known), None, fractions, seed,
+                                                groups=groups))
 
 
 REQUIRED = ("title_left", "title_right", "label")

@@ -1,4 +1,4 @@
-"""Stratified splits (cases follow the reference's split tests) and the
+"""Stratified splits, the published split table and the
 published split sizes."""
 
 import pytest
@@ -91,3 +91,71 @@ def test_char_wb_counts_short_words_once(spark):
     df = spark.createDataFrame([("a bc",)], "t string")
     got = sorted(df.select(char_wb_ngrams("t", 2, 4)).first()[0])
     assert got == sorted([" a", "a ", " a ", " b", "bc", "c ", " bc", "bc ", " bc "])
+
+
+# -- the published split table --------------------------------------------------
+
+def _pairs_table(spark, n=400):
+    return spark.createDataFrame([(f"p{i}", i % 4 == 0, int(i % 4 == 0), ["cpu", "tv"][i % 2]) for i in range(n)],
+                                 "pair_id string, is_hard_negative boolean, label int, category string")
+
+
+def _table(spark, root):
+    from pairlane.sources import split_table
+    parts = split_table.stored_parts(spark, root)
+    return {p: {r.pair_id for r in split_table.read_part(spark, parts, *p).collect()} for p in parts}
+
+
+def _splits_of(spark, root, pairs, fractions, seed):
+    from pairlane.sources import pairs_io
+    v = SP.derive_validation(pairs, 0.1, 42, groups=["category"])
+    cols = pairs.columns
+    return pairs_io.splits_with_stored_test(spark, root, v.filter("split = 'train'").select(*cols),
+                                            v.filter("split = 'validation'").select(*cols), fractions, seed, ["category"])
+
+
+def test_stored_test_is_kept_out_of_later_splits(spark, tmp_path):
+    from pairlane.sources import pairs_io
+    root, pairs = str(tmp_path / "splits"), _pairs_table(spark)
+    pairs_io.write_splits(_splits_of(spark, root, pairs, {"10pct": 0.1}, 42), root)
+    before = _table(spark, root)
+    pairs_io.write_splits(_splits_of(spark, root, pairs, {"10pct": 0.1, "25pct": 0.25}, 7), root)
+    after = _table(spark, root)
+    assert {p: after[p] for p in before} == before and ("cpu", "train_25pct") in after
+    for (c, s), ids in after.items():
+        if s.startswith("train"):
+            assert not ids & (after[c, "test"] | after[c, "val"])
+    # also where the writer did not look at the stored test
+    everything = pairs.withColumn("split", F.lit("train_100pct"))
+    pairs_io.write_splits(everything, root)
+    table = _table(spark, root)
+    assert table["tv", "train_100pct"] == {f"p{i}" for i in range(1, 400, 2)} - table["tv", "test"] - table["tv", "val"]
+
+
+def test_replaced_test_cleans_stored_parts(spark, tmp_path):
+    from pairlane.sources import pairs_io
+    root, pairs = str(tmp_path / "splits"), _pairs_table(spark, 100)
+    pairs_io.write_splits(pairs.withColumn("split", F.lit("train_100pct")), root)
+    test = pairs.filter("category = 'tv' AND label = 0").withColumn("split", F.lit("test"))
+    pairs_io.write_splits(test, root, force=True)
+    table = _table(spark, root)
+    assert len(table["tv", "test"]) == 50 and table["tv", "train_100pct"] == set()
+    assert len(table["cpu", "train_100pct"]) == 50
+    assert pairs_io.load_split(spark, root, "train_100pct", "TV").count() == 0
+
+
+def test_failed_write_leaves_the_table(spark, tmp_path):
+    from pairlane.sources import pairs_io
+    root, pairs = str(tmp_path / "splits"), _pairs_table(spark, 40)
+    pairs_io.write_splits(pairs.withColumn("split", F.lit("val")), root)
+    before = _table(spark, root)
+    bad = pairs.withColumn("split", F.lit("test")).withColumn(
+        "label", F.expr("CASE WHEN pair_id = 'p7' THEN raise_error('lost') ELSE label END").cast("int"))
+    with pytest.raises(Exception):
+        pairs_io.write_splits(bad, root, force=True)
+    assert _table(spark, root) == before
+    with pytest.raises(ValueError):
+        pairs_io.write_splits(pairs.withColumn("split", F.lit(None).cast("string")), root)
+    with pytest.raises(FileNotFoundError):
+        pairs_io.load_split(spark, root, "test", "tv")
+    assert _table(spark, str(tmp_path / "nothing")) == {}
