@@ -9,8 +9,8 @@ In each tile a graph is built by inserting its members in batches: a greedy
 search from the medoids finds a member's surroundings, robust pruning keeps the
 neighbours that no kept one stands in for, and back edges are pruned alike.  The
 lists that a class has in its tiles are united, and members search the tiles of
-their home shard on these lists: greedily from the medoids, then expanding every
-node in range until no new one appears.  What is found is verified by the cosine
+their home shard on these lists: greedily from the medoids and from their own
+neighbours, then expanding every node in range until no new one appears.  What is found is verified by the cosine
 in double precision.
 
 A link is counted in the home shard of its smaller class, so counts are summed
@@ -36,11 +36,11 @@ from pairlane.plans.indexing import dense_index
 #: Classes at home in a shard (on average), members of a tile, centroids.
 SHARD_ROWS, TILE_ROWS, MAX_SHARDS = 4096, 8192, 2048
 #: Sampled classes for centroids and for the audit, and the recall it asks for.
-SAMPLE_ROWS, AUDIT_ROWS, LEAST_RECALL = 16_384, 1024, 0.995
+SAMPLE_ROWS, AUDIT_ROWS, LEAST_RECALL = 16_384, 1024, 0.98
 #: Neighbours of a node, beam of building, slack of pruning, starts of a search.
 DEGREE, BEAM, ALPHA, STARTS = 16, 24, 1.2, 8
 #: Neighbours that must list a node in return, and the first beam of a search.
-MUTUAL, SEARCH_BEAM = 4, 64
+MUTUAL, SEARCH_BEAM = 4, 32
 #: Queries that search together.
 TOGETHER = 512
 #: Nodes this far below the threshold are expanded too.
@@ -66,17 +66,27 @@ def medoids(x: np.ndarray, starts: int = STARTS) -> np.ndarray:
 
 
 def greedy(x: np.ndarray, lists: np.ndarray, q: np.ndarray, starts: np.ndarray,
-           beam: int) -> tuple[np.ndarray, np.ndarray]:
+           beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, similarities) of the ``beam`` best nodes that each row of ``q``
-    meets; -1 and -inf where there are fewer.  All rows step together."""
-    b, width = len(q), max(beam, len(starts))
+    meets from ``starts`` (and its places in ``own``); -1 and -inf where there are
+    fewer.  All rows step together."""
+    b = len(q)
+    ids = np.broadcast_to(starts, (b, len(starts))).copy()
+    if own is not None:
+        ids = np.concatenate([ids, own], axis=1)
+    sims = np.einsum("bcd,bd->bc", x[ids], q).astype(np.float32)
+    sims[ids < 0] = -np.inf
+    _distinct(ids, sims, np.full(b, -2))
+    width = max(beam, len(starts))
     met = np.zeros((b, len(x)), bool)
-    met[:, starts] = True
-    ids = np.full((b, width), -1)
-    sims = np.full((b, width), -np.inf, np.float32)
-    is_open = np.zeros((b, width), bool)
-    ids[:, :len(starts)], is_open[:, :len(starts)] = starts, True
-    sims[:, :len(starts)] = q @ x[starts].T
+    r, c = np.nonzero(ids >= 0)
+    met[r, ids[r, c]] = True
+    if ids.shape[1] < width:
+        more = ((0, 0), (0, width - ids.shape[1]))
+        ids, sims = np.pad(ids, more, constant_values=-1), np.pad(sims, more, constant_values=-np.inf)
+    top = np.argpartition(-sims, width - 1, axis=1)[:, :width]
+    ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+    is_open = sims > -np.inf
     while True:
         best = np.where(is_open, sims, -np.inf)
         pick = best.argmax(axis=1)
@@ -205,12 +215,14 @@ def _mutual(lists: np.ndarray, least: int) -> np.ndarray:
     return wide
 
 
-def in_range(x: np.ndarray, lists: np.ndarray, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-    """Places within ``least`` that each row of ``q`` finds: a greedy search, then
-    every node in range (or a little below) is expanded until nothing is new."""
+def in_range(x: np.ndarray, lists: np.ndarray, q: np.ndarray, least: float, beam: int,
+             own: np.ndarray | None = None) -> list[np.ndarray]:
+    """Places within ``least`` that each row of ``q`` finds: a greedy search from the
+    medoids (and from the row's neighbours in the graph, ``own``), then every node
+    in range (or a little below) is expanded until nothing is new."""
     out, starts = [], medoids(x)
     for a in range(0, len(q), TOGETHER):
-        ids, sims = greedy(x, lists, q[a:a + TOGETHER], starts, beam)
+        ids, sims = greedy(x, lists, q[a:a + TOGETHER], starts, beam, None if own is None else own[a:a + TOGETHER])
         near = (ids >= 0) & (sims >= least - SLACK)
         for k, row in enumerate(near):
             met = np.zeros(len(x), bool)
@@ -304,21 +316,23 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 # -- the search ---------------------------------------------------------------
 
 def _build_tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("cid")
     names = pdf["cid"].to_numpy()
     lists = build(unit(_scaled(_vectors(pdf["x"]))).astype(np.float32))
     return pd.DataFrame({"cid": names, "near": [names[row[row >= 0]] for row in lists]})
 
 
-def _local_lists(names: np.ndarray, near) -> np.ndarray:
-    """Places of the listed classes that are in the tile (``names`` ascends)."""
+def _local_lists(names: np.ndarray, near, own: np.ndarray) -> np.ndarray:
+    """Places of the listed classes that are in the tile (``names`` ascends),
+    without the rows' ``own``."""
     sizes = [0 if n is None else len(n) for n in near]
     flat = np.concatenate([np.asarray(n, np.int64) for n in near if n is not None and len(n)] or [np.zeros(0, np.int64)])
-    row = np.repeat(np.arange(len(names)), sizes)
+    row = np.repeat(np.arange(len(own)), sizes)
     at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-    ok = (names[at] == flat) & (at != row)
+    ok = (names[at] == flat) & (flat != own[row])
     row, at = row[ok], at[ok]
-    width = np.bincount(row, minlength=len(names))
-    lists = np.full((len(names), max(1, int(width.max(initial=0)))), -1)
+    width = np.bincount(row, minlength=len(own))
+    lists = np.full((len(own), max(1, int(width.max(initial=0)))), -1)
     first = np.concatenate([[0], np.cumsum(width)[:-1]])
     lists[row, np.arange(len(row)) - first[row]] = at
     return lists
@@ -339,10 +353,10 @@ def _search_tile(least: float, beam: int):
             return none
         nodes, queries = nodes.sort_values("cid"), queries.sort_values("cid")
         names, asked = nodes["cid"].to_numpy(), queries["cid"].to_numpy()
-        lists = _local_lists(names, nodes["near"])
+        lists, starts = _local_lists(names, nodes["near"], names), _local_lists(names, queries["near"], asked)
         x, q = _scaled(_vectors(nodes["x"])), _scaled(_vectors(queries["x"]))
         norm_x, norm_q = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-        found = in_range(unit(x).astype(np.float32), lists, unit(q).astype(np.float32), least, beam)
+        found = in_range(unit(x).astype(np.float32), lists, unit(q).astype(np.float32), least, beam, starts)
         linked = np.zeros((len(asked), len(names)), bool)
         for k, places in enumerate(found):
             linked[k, places[(x[places] @ q[k]) / (norm_x[places] * norm_q[k]) >= least]] = True
@@ -375,10 +389,11 @@ def search(classes: DataFrame, centroids: dict[int, np.ndarray], margin: dict[in
     lists = (members.groupBy("dims", "shard", "tile").applyInPandas(_build_tile, "cid long, near array<long>"))
     united = stored(lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     tiles = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    nodes = members.join(united, "cid").withColumn("j", F.col("tile")).withColumn("i", tiles)
+    members = members.join(united, "cid")
+    nodes = members.withColumn("j", F.col("tile")).withColumn("i", tiles)
     key = ["dims", "shard", "i", "j"]
     queries = members.where("home").withColumn("i", F.col("tile")).withColumn("j", tiles)
-    queries = queries.select(*[F.col(c).alias(c) for c in (*key, "cid", "copies", "x")])  # columns of their own
+    queries = queries.select(*[F.col(c).alias(c) for c in (*key, "cid", "copies", "x", "near")])  # columns of their own
     return stored(nodes.select(*key, "cid", "copies", "x", "near").groupBy(*key)
                   .cogroup(queries.groupBy(*key))
                   .applyInPandas(_search_tile(least, beam), "cid long, n long, root long"), "links")
