@@ -311,6 +311,8 @@ def test_empty_tables(spark):
     assert dac.token_file(none, f"{TOK}/byte_bpe_50k.json", 2).count() == 0
     assert token_counts.count_tokens(none, f"{TOK}/piece_bpe_32k.model").count() == 0
     assert lattice.encode_documents(none, f"{TOK}/piece_bpe_32k.model").count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert perspectives.rotate(turns).count() == 0
     v = topk.integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(v, v, 5).count() == 0
 
@@ -367,11 +369,42 @@ def test_unigram_models_keep_the_lattice(spark, docs, tmp_path):
 
 
 def test_toxicity_held_out(spark):
-    r = toxicity.toxicity(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "/root/testdata/sf0.01")
-    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    r = toxicity.toxicity(spark, spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "/root/testdata/sf0.1")
+    lab = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = r.join(lab, "doc_id").where("held_out").select("toxic", "predicted").collect()
-    assert np.mean([x.toxic == x.predicted for x in got]) >= 0.9
+    toxic = [x.predicted for x in got if x.toxic]
+    clean = [x.predicted for x in got if not x.toxic]
+    assert len(toxic) >= 30 and np.mean(toxic) >= 0.8 and np.mean(clean) <= 0.02  # some labels are noise
     assert r.where("score is null or score < 0 or score > 1").count() == 0
+    assert {x.doc_id: x.held_out for x in r.collect()} == {
+        x.doc_id: zlib.crc32(str(x.doc_id).encode()) % 5 == 0 for x in r.collect()}
+
+
+def test_toxicity_without_rows_or_labels(spark, docs, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out = toxicity.toxicity(spark, docs, str(tmp_path)).collect()
+    assert len(out) == len(EDGE) and all(r.predicted == 0 for r in out)
+    assert toxicity.toxicity(spark, docs.limit(0), str(tmp_path)).count() == 0
+    # labels that meet no document
+    stray = spark.createDataFrame([(10 ** 6 + k, 1, k % 2) for k in range(9)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(docs, stray) == toxicity.train([], [])
+
+
+def test_repeated_ids_do_not_crowd_out_others(spark):
+    rows = [(1, f"you idiot number {k}") for k in range(20_000)] + [(2, "a fine day"), (3, "the sun is out")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = sorted(tuple(r) for r in toxicity.training_rows(table, labels).select("doc_id", "toxic", "text").collect())
+    assert got == [(1, 1, "you idiot number 0"), (2, 0, "a fine day"), (3, 0, "the sun is out")]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
 
 
 def test_toxicity_edges(spark, docs):
