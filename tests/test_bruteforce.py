@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from pairlane.operators.dense import dense_rank, dense_topk
-from pairlane.plans import balls, maxscore
+from pairlane.plans import balls, maxscore, setjoin
 
 
 @pytest.fixture(autouse=True)
@@ -110,31 +110,26 @@ def test_only_documents_in_reach_are_scored():
     assert len(block.reach(np.array([0, 1]), np.array([0.1, 0.1]), 0.5)[0]) == 0
 
 
-def test_same_group_jaccard_topk_matches_brute_force(spark):
-    from pairlane.plans.blocked import blocked_jaccard_topk
+@pytest.mark.parametrize("block,k", [(2048, 3), (16, 3), (7, 40)])
+def test_group_jaccard_topk_matches_brute_force(spark, monkeypatch, block, k):
+    monkeypatch.setattr(setjoin, "BLOCK_ROWS", block)
     rng = np.random.default_rng(5)
-    n, V = 90, 25
-    toks = [sorted(set(rng.integers(0, V, rng.integers(1, 7)).tolist())) for _ in range(n)]
-    grp = [f"b{int(g)}" for g in rng.integers(0, 4, n)]
-    items = spark.createDataFrame([(i, toks[i], grp[i]) for i in range(n)],
-                                  "idx long, term_ids array<long>, grp string")
-    got = {}
-    for r in blocked_jaccard_topk(items, 3, n, block=16).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = r["corpus_idx"]
-    got = {q: [v[k] for k in sorted(v)] for q, v in got.items()}
+    n, V = 120, 25
+    toks = [[f"t{x}" for x in rng.integers(0, V, rng.integers(0, 9))] for _ in range(n)]
+    grp = ["large" if i % 2 else f"b{int(g)}" for i, g in enumerate(rng.integers(0, 9, n))]
+    grp[5] = grp[9] = None
+    table = spark.createDataFrame([(i, toks[i], grp[i]) for i in range(n)], "key long, toks array<string>, grp string")
+    rows, flat = setjoin.numbered(table, "key", "grp", "toks")
+    key_of = {r["idx"]: r["key"] for r in rows.collect()}
+    got = {(key_of[r["query_id"]], r["rank"]): (key_of[r["corpus_idx"]], r["score"]) for r in setjoin.group_topk(flat, k).collect()}
     want = {}
     for i in range(n):
-        a = set(toks[i])
-        cand = []
+        a, cand = set(toks[i]), []
         for j in range(n):
-            if j == i or grp[j] != grp[i]:
-                continue
             b = set(toks[j])
-            jac = round(len(a & b) / len(a | b), 9)
-            if jac > 0:
-                cand.append((-jac, j))
-        if cand:
-            want[i] = [j for _, j in sorted(cand)[:3]]
+            if j != i and grp[i] is not None and grp[j] == grp[i] and a & b:
+                cand.append((-round(len(a & b) / len(a | b), 9), j))
+        want |= {(i, r): (j, -s) for r, (s, j) in enumerate(sorted(cand)[:k], 1)}
     assert got == want
 
 
