@@ -1,13 +1,11 @@
 """Scalar text expressions.
 
 All builders return ``Column`` expressions so they stay inside whole-stage
-codegen; nothing here runs Python per row except the optional exact accent
-fold (an Arrow-batched pandas UDF).
+codegen; nothing here runs Python per row.
 """
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -89,69 +87,73 @@ def negative_cache_key(text: "str | Column", n: "int | Column") -> Column:
 
 # ---------------------------------------------------------------- accents ---
 
+# The fold of a text is the fold of its code points one by one: compatibility
+# decomposition (NFKD) of each, without what combines.  Reordering only concerns
+# combining marks, and those are dropped.
+
+HANGUL = (0xAC00, 0xD7A3)  # syllables: decomposed by arithmetic
+
+
+def _class(cps: list[int]) -> str:
+    """A regex class of ascending code points, as ranges."""
+    ranges: list[list[int]] = []
+    for cp in cps:
+        if ranges and cp == ranges[-1][1] + 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 @lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, str]:
-    """Built from a rule (NFKD, drop combining marks) over the BMP:
-    single-character results go to a ``translate`` table; combining marks
-    become a character class that is deleted.  Characters whose compatibility
-    decomposition is longer than one character (ligatures, fractions) are
-    left to the exact pandas fold."""
-    src, dst, marks = [], [], []
-    for cp in range(0x80, 0x10000):
-        ch = chr(cp)
-        if 0xD800 <= cp <= 0xDFFF:
+def _fold_tables() -> tuple[str, str, str, dict[str, str]]:
+    """From the rule, over all planes: what becomes one character, for
+    ``translate`` (source and target); the class of what becomes nothing; and what
+    becomes several characters, Hangul syllables aside."""
+    src, dst, gone, several = [], [], [], {}
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp <= 0xDFFF or HANGUL[0] <= cp <= HANGUL[1]:
             continue
-        if unicodedata.combining(ch):
-            marks.append(cp)
+        ch = chr(cp)
+        folded = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        if folded == ch:
             continue
-        folded = "".join(c for c in unicodedata.normalize("NFKD", ch)
-                         if not unicodedata.combining(c))
-        if len(folded) == 1 and folded != ch:
+        if not folded:
+            gone.append(cp)
+        elif len(folded) == 1:
             src.append(ch)
             dst.append(folded)
-    # compress the mark code points into ranges for a compact regex class
-    ranges, start, prev = [], None, None
-    for cp in marks:
-        if start is None:
-            start = prev = cp
-        elif cp == prev + 1:
-            prev = cp
         else:
-            ranges.append((start, prev))
-            start = prev = cp
-    if start is not None:
-        ranges.append((start, prev))
-    cls = "[" + "".join(
-        f"\\x{{{a:04X}}}" if a == b else f"\\x{{{a:04X}}}-\\x{{{b:04X}}}"
-        for a, b in ranges) + "]"
-    return "".join(src), "".join(dst), cls
+            several[ch] = folded
+    return "".join(src), "".join(dst), _class(gone), several
 
 
-def fold_accents(col: "str | Column") -> Column:
-    """JVM-side accent fold: rule-built translate table + combining-mark
-    removal.  Equal to NFKD-and-drop-marks for every character whose
-    decomposition folds to a single character."""
-    src, dst, marks = _fold_tables()
-    x = _c(col)
-    # ASCII-only text (the common case) skips the table and the mark class
-    return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(x, src, dst), marks, "")).otherwise(x)
+def _unfold(ch: Column) -> Column:
+    """What a character that becomes several ones becomes; others stay.  The map is
+    searched entry by entry, so it is only asked where the class says so."""
+    several = _fold_tables()[3]
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    at = F.ascii(ch) - HANGUL[0]  # the code point, in spite of the name
 
+    def jamo(first: int, n: int, i: Column) -> Column:
+        return F.substring(F.lit("".join(chr(first + k) for k in range(n))), i + 1, F.lit(1))
 
-def fold_accents_exact(col: "str | Column") -> Column:
-    """Exact NFKD fold as an Arrow-batched pandas UDF (slow path)."""
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
+    tail = (at % 28).cast("int")
+    syllable = F.concat(jamo(0x1100, 19, F.floor(at / 588).cast("int")), jamo(0x1161, 21, F.floor(at % 588 / 28).cast("int")),
+                        F.when(tail > 0, jamo(0x11A8, 27, tail - 1)).otherwise(F.lit("")))
+    return (F.when(ch.rlike(_class([*range(HANGUL[0], HANGUL[1] + 1)])), syllable)
+            .when(ch.rlike(_class(sorted(map(ord, several)))), F.element_at(table, ch)).otherwise(ch))
 
-    @pandas_udf("string")
-    def _fold(s: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None or x.isascii():
-                return x
-            return "".join(c for c in unicodedata.normalize("NFKD", x)
-                           if not unicodedata.combining(c))
-        return s.map(one)
 
-    return _fold(_c(col))
+def fold_accents(col: "str | Column") -> Column:
+    """NFKD without combining characters, as column expressions: equal to
+    ``unicodedata`` for every code point of every plane."""
+    src, dst, gone, several = _fold_tables()
+    x = _c(col)
+    # ASCII-only text (the common case) skips the tables; few texts hold what becomes several characters
+    wide = _class(sorted([*map(ord, several), *range(HANGUL[0], HANGUL[1] + 1)]))
+    spread = F.when(x.rlike(wide), F.array_join(F.transform(F.split(x, ""), _unfold), "")).otherwise(x)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spread, src, dst), gone, "")).otherwise(x)
 
 
 def word_tokens(col: "str | Column", strip_accents: str | None = "jvm") -> Column:
@@ -159,8 +161,6 @@ def word_tokens(col: "str | Column", strip_accents: str | None = "jvm") -> Colum
     x = F.lower(_c(col))
     if strip_accents == "jvm":
         x = fold_accents(x)
-    elif strip_accents == "exact":
-        x = fold_accents_exact(x)
     return F.regexp_extract_all(x, F.lit(TOKEN_RE), 0)
 
 
@@ -185,8 +185,6 @@ def char_wb_ngrams(col: "str | Column", min_n: int = 1, max_n: int = 2,
     x = F.lower(_c(col))
     if strip_accents == "jvm":
         x = fold_accents(x)
-    elif strip_accents == "exact":
-        x = fold_accents_exact(x)
     words = F.filter(F.split(x, r"\s+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     def grams_of(n):

@@ -28,7 +28,7 @@ class TfidfParams:
     min_n: int = 1
     max_features: int | None = 50_000
     sublinear_tf: bool = True
-    strip_accents: str | None = "jvm"   # "jvm" | "exact" | None
+    strip_accents: str | None = "jvm"   # or None
 
 
 def with_terms(df: DataFrame, id_col: str, p: TfidfParams, text_col: str = "text") -> DataFrame:

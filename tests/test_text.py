@@ -71,3 +71,21 @@ def test_char_wb(spark):
     got = df.select(tx.char_wb_ngrams("t", 2, 3).alias("x")).first()["x"]
     # ' ab ' -> ' a','ab','b ' ; ' c ' -> ' c','c ' ; n=3: ' ab','ab ' ; ' c ' once
     assert sorted(got) == sorted([" a", "ab", "b ", " c", "c ", " ab", "ab ", " c "])
+
+
+def test_fold_equals_unicodedata_for_every_code_point(spark):
+    import unicodedata
+    from pyspark.sql import functions as F
+    from pairlane.functions.text import fold_accents
+
+    def want(x):
+        return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+    chars = [chr(cp) for cp in range(1, 0x110000) if not 0xD800 <= cp <= 0xDFFF]
+    step = 64  # neighbours share a text, with an ASCII letter between them
+    texts = ["x".join(chars[k:k + step]) for k in range(0, len(chars), step)]
+    texts += ["", "ﬁne ½ ½", "ẹ́ ṩ", "한글 各 한", "ﷺ!", "𝔘𝔫𝔦 ㎏ ǆ"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", fold_accents("t").alias("f")).collect()
+    assert len(got) == len(texts)
+    bad = [(r.i, texts[r.i], r.f) for r in got if r.f != want(texts[r.i])]
+    assert not bad, bad[:3]
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(fold_accents("t")).first()[0] is None
