@@ -1,10 +1,15 @@
 """Adapter training, encoder determinism, streaming idempotence, blocked
 top-k against brute force."""
 
+import hashlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from pairlane.functions.text import word_ngrams, word_tokens
 from pairlane.operators import dense as D
+from pairlane.operators import training as T
 
 
 def test_encoder_deterministic(spark):
@@ -15,15 +20,89 @@ def test_encoder_deterministic(spark):
     assert abs(np.linalg.norm(a[1]) - 1) < 1e-5 and a[1] != a[2]
 
 
-def test_adapter_loss_falls(spark):
-    rng = np.random.default_rng(0)
-    base = rng.standard_normal((64, 8))
-    rows = [(i // 16, (base[i] + 0.3 * rng.standard_normal(8)).tolist(), base[i].tolist()) for i in range(64)]
-    b = spark.createDataFrame(rows, "batch_id long, anchor array<double>, positive array<double>")
-    W1, h1, _ = D.fit_contrastive_adapter(b, 8, epochs=4, lr=0.5)
-    W2, h2, _ = D.fit_contrastive_adapter(b, 8, epochs=4, lr=0.5)
-    assert h1[-1][1] < h1[0][1]
-    assert np.allclose(W1, W2)
+def test_encoder_equals_a_loop(spark):
+    """Every vector against one made token by token with a stored projection row."""
+    texts = ["small ring 11", "Ring, SMALL ring!", "", None, "x", "crème brûlée torch", "a_b c_d " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r["id"]: r["vec"] for r in D.encode_texts(df, "t", "id").collect()}
+    toks = {r["id"]: r["g"] for r in df.select("id", word_ngrams(word_tokens(F.coalesce("t", F.lit(""))), 2).alias("g")).collect()}
+    grams = sorted({g for gs in toks.values() for g in gs})
+    ids = {r["g"]: r["h"] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(
+        "g", F.xxhash64("g").alias("h")).collect()}
+    for i, gs in toks.items():
+        v = np.zeros(64)
+        for g in gs:
+            place, sign = D.sparse_projection(np.array([ids[g]]), 64, 8, 13)
+            for k, x in zip(place[0], sign[0]):
+                v[k] += x
+        v = v / np.linalg.norm(v) if v.any() else v
+        assert np.allclose(got[i], v, atol=1e-6)
+    assert not any(got[2]) and not any(got[3])
+
+
+def test_gradient_by_finite_differences():
+    rng = np.random.default_rng(2)
+    a, p, n, w = (rng.standard_normal(s) for s in ((6, 5), (6, 5), (4, 5), (5, 5)))
+    for negatives in (None, n):
+        _, g = T.loss_and_gradient(a, p, w, 3.0, negatives)
+        for i in range(5):
+            for j in range(5):
+                up, down = w.copy(), w.copy()
+                up[i, j] += 1e-6
+                down[i, j] -= 1e-6
+                slope = (T.loss_and_gradient(a, p, up, 3.0, negatives)[0] - T.loss_and_gradient(a, p, down, 3.0, negatives)[0]) / 2e-6
+                assert abs(slope - g[i, j]) < 1e-6
+
+
+def _trained_by_hand(rows, dim, epochs, batch, lr, replicas, seed=42):
+    n = len(rows)
+    replicas = max(1, min(replicas, n // batch))
+    per = max(1, n // (batch * replicas))
+    total, w, step = per * epochs, np.eye(dim), 0
+    warm = max(1, int(total * 0.1))
+    by_hash = sorted(rows, key=lambda r: (hashlib.md5(f"{seed}|{r[0]}".encode()).hexdigest(), r[0]))
+    for epoch in range(1, epochs + 1):
+        a, b = T.permutation(n, seed, epoch)
+        order = [r for _, r in sorted(((a * i + b) % n, r) for i, r in enumerate(by_hash))]
+        assert len({(a * i + b) % n for i in range(n)}) == n
+        for s in range(per):
+            step += 1
+            grads = []
+            for k in range(replicas):
+                part = order[(s * replicas + k) * batch:(s * replicas + k + 1) * batch]
+                neg = [r[3] for r in part if len(r) > 3 and r[3] is not None]
+                grads.append(T.loss_and_gradient(np.array([r[1] for r in part]), np.array([r[2] for r in part]), w,
+                                                 T.LOSS_SCALE, np.array(neg) if neg else None)[1])
+            rate = step / warm if step <= warm else (total - step + 1) / (total - warm + 1)
+            w = w - lr * rate * np.mean(grads, axis=0)
+    return w, total
+
+
+@pytest.mark.parametrize("n,replicas,negatives", [(70, 1, False), (70, 2, True), (5, 2, False), (16, 2, True)])
+def test_adapter_equals_steps_by_hand(spark, n, replicas, negatives):
+    rng = np.random.default_rng(n)
+    base = rng.standard_normal((n, 6))
+    rows = [(i, (base[i] + 0.3 * rng.standard_normal(6)).tolist(), base[i].tolist()) for i in range(n)]
+    if negatives:
+        rows = [(*r, (base[(i + 1) % n] + 0.1).tolist() if i % 3 else None) for i, r in enumerate(rows)]
+    schema = "pair_key long, anchor array<double>, positive array<double>" + (", negative array<double>" if negatives else "")
+    data = spark.createDataFrame(rows, schema).repartition(5)
+    w, history = T.fit_contrastive_adapter(data, 6, epochs=3, batch=16, lr=0.03, replicas=replicas)
+    want, total = _trained_by_hand(rows, 6, 3, 16, 0.03, replicas)
+    assert np.allclose(w, want, atol=1e-10)
+    assert [h["epoch"] for h in history] == [1, 2, 3] and history[-1]["steps"] == total
+    if n == 70:
+        a, p = (np.array([r[k] for r in rows]) for k in (1, 2))
+        assert T.loss_and_gradient(a, p, w)[0] < T.loss_and_gradient(a, p, np.eye(6))[0]
+
+
+def test_steps_and_schedule(spark):
+    plan = T.Schedule(steps_per_epoch=1938 // 32, epochs=3)
+    assert (plan.total, plan.warmup) == (180, 18)
+    assert plan.factor(9) == 0.5 and plan.factor(18) == 1 and 0 < plan.factor(180) < 0.01
+    none = spark.createDataFrame([], "pair_key long, anchor array<double>, positive array<double>")
+    w, history = T.fit_contrastive_adapter(none, 3)
+    assert (w == np.eye(3)).all() and history == []
 
 
 def test_stream_result_does_not_depend_on_batches(spark):
