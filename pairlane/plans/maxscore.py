@@ -207,7 +207,7 @@ def bounded_topk(qv: DataFrame, dv: DataFrame, query_ids: DataFrame, k: int, n_q
     ``query_ids`` by (score desc, corpus_idx), documents without a shared term
     with score 0 by index.  Pairs of ``exclude`` (query_id, corpus_idx) never
     come; fewer than k rows come only where fewer documents are left."""
-    bounds = term_bounds(dv)
+    qv, bounds = reuse(qv), reuse(term_bounds(dv))
     heavy = W.partitionBy("term_id").orderBy(F.col("w").desc())
     kth = (dv.withColumn("r", F.row_number().over(heavy)).where(F.col("r") <= k + SPARE)
            .groupBy("term_id").agg(F.sort_array(F.collect_list("w"), False).alias("tops")))  # at most k + SPARE
