@@ -35,7 +35,7 @@ def cache_records(spark, sf):
     good, _ = parsed(spark, sf)
     prods = N.products(pairs(spark, sf), N_PER)
     g = good.withColumnRenamed("pair_id", "id_left")
-    return prods.join(g, "id_left").select(
+    return prods.join(g.hint("merge"), "id_left").select(
         "cache_key", "pair_id", "product_text", "negative_text",
         F.col("item_idx").cast("int").alias("neg_idx"),
         F.lit(NEG_TYPE).alias("negative_type"), F.lit(STRATEGY).alias("strategy"),
@@ -152,7 +152,7 @@ def _append_failures(spark, sf):
     _, bad = parsed(spark, sf)
     path = cache_io.work_path(spark, "failures")
     prods = N.products(pairs(spark, sf), N_PER).withColumnRenamed("pair_id", "match_pair_id")
-    f = (bad.withColumnRenamed("pair_id", "id_left").join(prods, "id_left")
+    f = (bad.withColumnRenamed("pair_id", "id_left").join(prods.hint("merge"), "id_left")
          .select(F.col("match_pair_id").alias("pair_id"), "product_text",
                  F.lit(NEG_TYPE).alias("negative_type"), F.lit(STRATEGY).alias("strategy"),
                  F.lit(MODEL).alias("model_id"), "error",
@@ -218,7 +218,7 @@ def _generation_progress(spark, sf):
          prods.join(cache.select("cache_key"), "cache_key").agg(F.count(F.lit(1)).alias("n_cached_negatives")),
          prods.join(keys, "cache_key", "left_anti").agg(F.countDistinct("cache_key").alias("n_to_generate")),
          bad.agg(F.count(F.lit(1)).alias("n_failed")),
-         resp.join(good.select("pair_id").distinct(), "pair_id", "left_semi").agg(
+         resp.join(good.select("pair_id").distinct().hint("merge"), "pair_id", "left_semi").agg(
              F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
              F.sum("completion_tokens").cast("bigint").alias("completion_tokens"))]
     cols = []
