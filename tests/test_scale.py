@@ -36,3 +36,13 @@ def test_pairs_of_repeated_and_null_keys(spark, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet/*.parquet'")
     want = con.execute(f"WITH {fixtures.PAIRS_SQL} SELECT pair_id, title_left, title_right, label, is_hard_negative FROM pairs").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_accent_fold_looks_characters_up(spark):
+    """No regex over the tables: it would try each of hundreds of ranges at every character."""
+    from pairlane.functions.text import fold_accents
+    df = spark.createDataFrame([("Ⅷ é ﬁ 한 ½ áb",), ("plain",), (None,)], "t string")
+    folded = df.select(fold_accents("t").alias("f"))
+    # the class of what becomes several characters is left, asked only for single characters above ASCII
+    assert folded._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 0
+    assert [r[0] for r in folded.collect()] == ["VIII e fi 한 1⁄2 ab", "plain", None]
