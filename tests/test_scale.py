@@ -46,3 +46,30 @@ def test_accent_fold_looks_characters_up(spark):
     # the class of what becomes several characters is left, asked only for single characters above ASCII
     assert folded._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 0
     assert [r[0] for r in folded.collect()] == ["VIII e fi 한 1⁄2 ab", "plain", None]
+
+
+def test_a_query_goes_to_a_region_once(spark, monkeypatch):
+    """Many balls, few regions, pieces of a ball that cannot be cut: as brute force."""
+    import numpy as np
+
+    from pairlane.plans import balls
+    monkeypatch.setattr(balls, "BALL_ROWS", 8)
+    monkeypatch.setattr(balls, "REGION_ROWS", 64)
+    monkeypatch.setattr(balls, "QUERY_ROWS", 50)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((300, 4)), np.ones((150, 4))])
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "corpus_idx long, vec array<double>")
+    q = rng.standard_normal((90, 4))
+    s = np.round(q @ x.T, 9)
+    asked = spark.createDataFrame([(i, v.tolist(), i, float(v @ x[i])) for i, v in enumerate(q)],
+                                  "query_id long, vec array<double>, pos_idx long, s_pos double")
+    order = [np.lexsort((np.arange(len(x)), -row)) for row in s]
+    got = {r["query_id"]: r["rank"] for r in balls.bounded_rank(asked, corpus).collect()}
+    assert got == {i: int(np.flatnonzero(o == i)[0]) + 1 for i, o in enumerate(order)}
+    best = balls.bounded_topk(asked.select("query_id", "vec"), corpus, 12).collect()
+    assert {(r["query_id"], r["rank"]): r["corpus_idx"] for r in best} == {(i, k + 1): int(o[k]) for i, o in enumerate(order) for k in range(12)}
+    placed, b = balls.grow(corpus, len(x))
+    assert len(b.first) < len(b.ids)
+    routed = balls._route(asked.select("query_id", "vec"), b, lambda b, q, rows: (np.ones((len(q), len(b.ids)), bool), {}))
+    assert routed.count() == 90 * len(b.first)
+    assert placed.groupBy("region", "piece").count().agg({"count": "max"}).first()[0] <= 2 * 64
