@@ -73,3 +73,14 @@ def test_a_query_goes_to_a_region_once(spark, monkeypatch):
     routed = balls._route(asked.select("query_id", "vec"), b, lambda b, q, rows: (np.ones((len(q), len(b.ids)), bool), {}))
     assert routed.count() == 90 * len(b.first)
     assert placed.groupBy("region", "piece").count().agg({"count": "max"}).first()[0] <= 2 * 64
+
+
+def test_sparse_scores_move_vectors_not_products(spark):
+    """By hand, and without a shuffle of (query, document, term) rows."""
+    from pairlane.operators.tfidf import sparse_scores
+    qv = spark.createDataFrame([(7, 1, 0.5), (7, 2, 0.25), (9, 3, 1.0), (11, 8, 1.0)], "query_id long, term_id long, w double")
+    dv = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5), (1, 2, 1.0), (2000, 3, 0.125), (2000, 1, 0.5)],
+                               "corpus_idx long, term_id long, w double")
+    got = sparse_scores(qv, dv)
+    assert sorted(map(tuple, got.collect())) == [(7, 0, 0.375), (7, 1, 0.25), (7, 2000, 0.25), (9, 2000, 0.125)]
+    assert "Join Inner, (term_id" not in got._jdf.queryExecution().optimizedPlan().toString()
