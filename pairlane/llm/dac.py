@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,10 @@ MAGIC = b"DAC1"
 CHUNK_BITS = 8
 BLOCK = 512
 SHARD_TOKENS = 1 << 20
+#: Tokens that are read in one call: arrays that stay near the processor.
+READ_TOKENS = 1 << 15
+#: Bytes of text that are encoded in one call.
+TOGETHER = 1 << 23
 
 TOKENISED = "doc_id long, pl_bucket int, n_tokens long, ids binary"
 SHARDS = "bucket int, shard int, before long, n_docs long, n_tokens long, image binary"
@@ -121,6 +126,20 @@ def _bounds(docs: DataFrame, n: int) -> list[int]:
     return sorted({int(x) for x in got or []})
 
 
+def _together(batches):
+    """Lists of batches with about ``TOGETHER`` bytes of text: words that come again
+    in them are met once."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch["text"].nbytes
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str,
                  shard_tokens: int = SHARD_TOKENS) -> None:
     """Tokenise whole texts (null: empty), append ``end_id`` to each and write
@@ -141,14 +160,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str,
         wide = max(enc.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         press = zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], "<u4").tobytes()
-        for pdf in batches:
-            rows = []
-            for doc, b, ids in zip(pdf["doc_id"], pdf["pl_bucket"], enc.encode(pdf["text"].tolist())):
-                ids = np.frombuffer(ids + end, "<u4")
-                rows.append((doc, b, len(ids), press.compress((ids if wide else ids.astype("<u2")).tobytes())))
-            out = pd.DataFrame(rows, columns=["doc_id", "pl_bucket", "n_tokens", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+        for held in _together(batches):
+            found = iter(enc.encode_column(pa.concat_arrays([b["text"].cast(pa.large_string()) for b in held])))
+            for batch in held:
+                ids = [np.frombuffer(next(found) + end, "<u4") for _ in range(len(batch))]
+                packed = [press.compress((i if wide else i.astype("<u2")).tobytes()) for i in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"], batch["pl_bucket"], pa.array(map(len, ids), pa.int64()), pa.array(packed, pa.binary())],
+                    names=["doc_id", "pl_bucket", "n_tokens", "ids"])
 
     def to_images(batches):
         import zstandard
@@ -175,7 +194,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str,
         if held:
             yield flush()
 
-    (docs.withColumn("pl_bucket", bucket).mapInPandas(tokenise, TOKENISED)
+    (docs.withColumn("pl_bucket", bucket).mapInArrow(tokenise, TOKENISED)
          .repartition(len(bounds) + 1, "pl_bucket")
          .sortWithinPartitions("pl_bucket", "doc_id", "n_tokens", F.crc32("ids"))
          .mapInPandas(to_images, SHARDS)
@@ -197,12 +216,13 @@ def read_shards(spark, path: str) -> DataFrame:
         for pdf in batches:
             for b, before, data in zip(pdf["bucket"], pdf["before"], pdf["image"]):
                 image = Image(data)
-                ids = image.tokens(0, image.n_tokens).astype("<u4")
+                ids = np.concatenate([image.tokens(k, min(k + READ_TOKENS, image.n_tokens)).astype("<u4")
+                                      for k in range(0, max(image.n_tokens, 1), READ_TOKENS)])
                 s = image.starts
                 yield pd.DataFrame({
                     "doc_id": pd.array(image.doc_ids, dtype="Int64"),
                     "start": base[b] + int(before) + s[:-1], "n_tokens": s[1:] - s[:-1],
-                    "ids_crc32": [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(s[:-1], s[1:])]})
+                    "ids_crc32": [zlib.crc32(ids[a:z]) for a, z in zip(s[:-1], s[1:])]})
 
     small_batches(spark, 16)
     return shards.select("bucket", "before", "image").mapInPandas(decode, READ)

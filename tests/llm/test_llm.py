@@ -179,6 +179,40 @@ def test_chunk_encoder_equals_library(name, keeps_space):
             assert np.frombuffer(ids, "<u4").tolist() == want, text
 
 
+def test_words_of_a_call_are_met_once(monkeypatch):
+    """A word in many texts is looked up once in a call, its letters and its signs
+    apart; the ids are still those of the library, also where texts must be cut
+    with care (white space before a blank) or a word is too long for the cache."""
+    from pairlane.llm import tokens
+    monkeypatch.setattr(tokens, "GATHERED", 7)
+    enc = tokens.ChunkEncoder(f"{TOK}/byte_bpe_50k.json", True)
+    asked = []
+    ids = enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda chunks: asked.append(len(chunks)) or ids(chunks))
+    words = ["stone", "river,", "don't", "Straße.", "one\ntwo", "42%%", "ŉo\u0250", "x" * 300 + "!"]
+    rows = [" ".join(words[(i + k * k) % 8] for k in range(40)) for i in range(200)]
+    odd = ["", " ", "  ", " stone", "stone ", "stone  river", "stone\n river", "\u3000 stone", "a\x1c b", "\n \n"]
+    for texts in (rows, odd, rows + odd, odd[:1], []):
+        got = enc.encode(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == \
+            [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked[0] < 40  # 8,000 words in 200 texts
+
+
+def test_token_file_of_batches_together(spark, monkeypatch):
+    """Texts of several Arrow batches in one call, null ids and texts among them."""
+    monkeypatch.setattr(dac, "READ_TOKENS", 5)
+    rows = [(None if i % 50 == 0 else i, None if i % 31 == 0 else f"stone river, {i % 7} don't  stop." * (i % 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    t = Tokenizer.from_file(f"{TOK}/byte_bpe_50k.json")
+    want = Counter()
+    for i, x in rows:
+        ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4")
+        want[i, len(ids), zlib.crc32(ids.tobytes())] += 1
+    got = dac.token_file(df, f"{TOK}/byte_bpe_50k.json", 2, 500).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
 def test_dac_random_access():
     rng = np.random.default_rng(1)
     ids = rng.choice([3, 200, 256, 40_000, 70_000, 2 ** 24 + 5], 3000).astype(np.uint32)
