@@ -19,7 +19,6 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,11 +175,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str,
 
         def flush():
             image = write_image(docs_, held, np.concatenate(ids))
-            return pd.DataFrame({"bucket": [held_bucket], "shard": [shard], "before": [before],
-                                 "n_docs": [len(held)], "n_tokens": [n], "image": [image]})
-
-        for pdf in batches:
-            for doc, b, count, data in zip(pdf["doc_id"], pdf["pl_bucket"], pdf["n_tokens"], pdf["ids"]):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([held_bucket], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()),
+                 pa.array([len(held)], pa.int64()), pa.array([n], pa.int64()), pa.array([image], pa.binary())],
+                names=["bucket", "shard", "before", "n_docs", "n_tokens", "image"])
+
+        for batch in batches:
+            columns = [batch[c].to_pylist() for c in ("doc_id", "pl_bucket", "n_tokens", "ids")]
+            for doc, b, count, data in zip(*columns):
                 raw = unpress.decompress(data)
                 if held and (b != held_bucket or n + count > shard_tokens):
                     yield flush()
@@ -188,16 +190,16 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str,
                     ids, held, docs_, n = [], [], [], 0
                 held_bucket = b
                 ids.append(np.frombuffer(raw, "<u4" if len(raw) == 4 * count else "<u2").astype(np.uint32))
-                held.append(int(count))
-                docs_.append(None if pd.isna(doc) else int(doc))
-                n += int(count)
+                held.append(count)
+                docs_.append(doc)
+                n += count
         if held:
             yield flush()
 
     (docs.withColumn("pl_bucket", bucket).mapInArrow(tokenise, TOKENISED)
          .repartition(len(bounds) + 1, "pl_bucket")
          .sortWithinPartitions("pl_bucket", "doc_id", "n_tokens", F.crc32("ids"))
-         .mapInPandas(to_images, SHARDS)
+         .mapInArrow(to_images, SHARDS)
          .write.option("compression", "zstd").parquet(path))
 
 
@@ -213,19 +215,20 @@ def read_shards(spark, path: str) -> DataFrame:
         at += n
 
     def decode(batches):
-        for pdf in batches:
-            for b, before, data in zip(pdf["bucket"], pdf["before"], pdf["image"]):
+        for batch in batches:
+            for b, before, data in zip(*(batch[c].to_pylist() for c in ("bucket", "before", "image"))):
                 image = Image(data)
                 ids = np.concatenate([image.tokens(k, min(k + READ_TOKENS, image.n_tokens)).astype("<u4")
                                       for k in range(0, max(image.n_tokens, 1), READ_TOKENS)])
                 s = image.starts
-                yield pd.DataFrame({
-                    "doc_id": pd.array(image.doc_ids, dtype="Int64"),
-                    "start": base[b] + int(before) + s[:-1], "n_tokens": s[1:] - s[:-1],
-                    "ids_crc32": [zlib.crc32(ids[a:z]) for a, z in zip(s[:-1], s[1:])]})
+                crc = [zlib.crc32(ids[a:z]) for a, z in zip(s[:-1], s[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(image.doc_ids, pa.int64()), pa.array(base[b] + before + s[:-1], pa.int64()),
+                     pa.array(s[1:] - s[:-1], pa.int64()), pa.array(crc, pa.int64())],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     small_batches(spark, 16)
-    return shards.select("bucket", "before", "image").mapInPandas(decode, READ)
+    return shards.select("bucket", "before", "image").mapInArrow(decode, READ)
 
 
 def token_file(docs: DataFrame, tokenizer_path: str, end_id: int,
